@@ -70,12 +70,19 @@ def _side(r: float) -> Column:
     return (F.lit(float(r)) + F.lit(r / 4.0) * F.pow(F.lit(2.0), F.col("_tier"))) * _MARGIN
 
 
+def _cell(coordinate: str, r: float) -> Column:
+    """Cell number. The coalesce makes it non-nullable, so the optimizer infers no
+    null filter that would evaluate the whole expression again below the join; a
+    feature without coordinates still fails the exact test."""
+    return F.coalesce(F.floor(F.col(coordinate) / _side(r)), F.lit(0).cast("bigint"))
+
+
 def _at_home(feats: DataFrame, r: float) -> DataFrame:
     """Tier and home cell of every anchored feature."""
     small = F.lit(r / 4.0)
     tier = F.when(F.col("_half") <= small, 0).otherwise(F.ceil(F.log2(F.col("_half") / small))).cast("int")
-    return feats.withColumn("_tier", tier).withColumns({
-        "_ci": F.floor(F.col("_ax") / _side(r)), "_cj": F.floor(F.col("_ay") / _side(r))})
+    return (feats.withColumn("_tier", F.coalesce(tier, F.lit(0)))
+            .withColumns({"_ci": _cell("_ax", r), "_cj": _cell("_ay", r)}))
 
 
 def _probes(centres: DataFrame, feats: DataFrame, kind: str, r: float, keys: list[str],
@@ -89,8 +96,7 @@ def _probes(centres: DataFrame, feats: DataFrame, kind: str, r: float, keys: lis
         centres.select(*keys, centre_id, F.col("x").alias("_px"), F.col("y").alias("_py"))
         .withColumn("_tier", F.explode(tiers))
         .withColumn("_o", F.explode(offsets))
-        .withColumns({"_ci": F.floor(F.col("_px") / _side(r)) + F.col("_o.i"),
-                      "_cj": F.floor(F.col("_py") / _side(r)) + F.col("_o.j")})
+        .withColumns({"_ci": _cell("_px", r) + F.col("_o.i"), "_cj": _cell("_py", r) + F.col("_o.j")})
         .drop("_o")
     )
 

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pavement.plans.storage import written
+
 BASE = ("region nation customer supplier part orders lineitem events "
         "documents embeddings pages benchmark labels conversations").split()
 
@@ -99,29 +101,51 @@ def needed(text: str) -> tuple[list[str], list[str]]:
     return views, base
 
 
-def with_views(sql: str, more: dict[str, str] | None = None) -> str:
+def with_views(sql: str, more: dict[str, str] | None = None, skip=frozenset()) -> str:
     """Put the views ``sql`` needs in front of it as common table expressions."""
     more = more or {}
     views, _ = needed(" ".join([*more.values(), sql]))
-    parts = [f"{v} AS ({VIEWS[v].strip()})" for v in views]
+    parts = [f"{v} AS ({VIEWS[v].strip()})" for v in views if v not in skip]
     parts += [f"{name} AS ({text.strip()})" for name, text in more.items()]
     return f"WITH {', '.join(parts)}\n{sql.strip()}" if parts else sql.strip()
 
 
+# City tables already written, by application and folder.
+_CITIES: dict[tuple[str, str], DataFrame] = {}
+
+
 class Bindings:
     """The views over one folder of tables, as DataFrames: ``b.point``, ``b.label`` ..."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def sql(self, text: str) -> DataFrame:
-        for name in needed(text)[1]:
+        """Run SQL over the views; the city table is written once, so that joins know its size."""
+        views, base = needed(text)
+        for name in base:
             self.base(name).createOrReplaceTempView(name)
-        return self.spark.sql(with_views(text))
+        skip = set()
+        if "b_city" in views:
+            self.city.createOrReplaceTempView("b_city")
+            skip = {"b_city"}
+        return self.spark.sql(with_views(text, skip=skip))
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
+
+    @property
+    def city(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _CITIES:
+            for name in ("nation", "region"):
+                self.base(name).createOrReplaceTempView(name)
+            _CITIES[key] = written(self.spark.sql(VIEWS["b_city"]))
+        return _CITIES[key]
 
     def __getattr__(self, name: str) -> DataFrame:
         if f"b_{name}" not in VIEWS:

@@ -26,6 +26,8 @@ def local_session(cores: str = "*", app: str = "pavement") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", os.environ.get("PAVEMENT_SHUFFLE", "8"))
         .config("spark.driver.memory", os.environ.get("PAVEMENT_MEMORY", "12g"))
+        # test tables are small single files: broadcast only what is small next to them
+        .config("spark.sql.autoBroadcastJoinThreshold", "1m")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
