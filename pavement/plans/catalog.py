@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from pavement.plans.registry import QUERIES, SQL
-from pavement.plans import spatial_queries  # noqa: F401
+from pavement.plans import spatial_queries, scalar_queries  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
