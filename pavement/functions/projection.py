@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pavement.plans.storage import join_side
+
 # WGS84 ellipsoid, spherical Mercator radius, UTM scale and offsets.
 SEMI_MAJOR = 6378137.0
 FLATTENING = 1 / 298.257223563
@@ -68,7 +70,7 @@ def pixel_of(points: DataFrame, meta: DataFrame, size: int, key: str = "city") -
         return F.least(F.greatest(F.col(at) - half, F.lit(0)), F.col(extent) - size)
 
     return (
-        points.join(meta, key)
+        join_side(points, meta, [key], "inner")
         .withColumns({"pcol": F.floor((F.col("e") * dx - F.col("b") * dy) / det),
                       "prow": F.floor((F.col("a") * dy - F.col("d") * dx) / det)})
         .withColumns({"row_start": start("prow", "height"), "col_start": start("pcol", "width")})
