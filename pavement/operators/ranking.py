@@ -111,7 +111,8 @@ def running_min(df: DataFrame, by: list[str], order: str, value: str, out: str,
 
 def draw(id_: Column, seed: int = 42) -> Column:
     """Seeded pseudo-random order number of an integer id, the same on any engine."""
-    return F.pmod(id_ * 7919 + seed, F.lit(100003))
+    small = F.pmod(id_.cast("bigint"), F.lit(100003))
+    return F.pmod(small * 7919 + seed, F.lit(100003))
 
 
 __all__ = ["exact_percentiles", "global_rank", "running_min", "draw"]

@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from pavement.plans.registry import QUERIES, SQL
-from pavement.plans import sample_queries, scalar_queries, spatial_queries  # noqa: F401
+from pavement.plans import raster_queries, sample_queries, scalar_queries, spatial_queries  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
