@@ -167,8 +167,12 @@ SELECT city, prow, pcol, sum(wr * wc * v) AS pred FROM (
        (VALUES {taps}) a(k, w), (VALUES {taps}) e(k, w),
        zoom z WHERE z.zr = {mirror.format('o.r + a.k')} AND z.zc = {mirror.format('o.c + e.k')})
 GROUP BY city, prow, pcol)""", {
-        "cell": """SELECT city, CAST(floor(prow * 8 / 20) AS BIGINT) AS gi, CAST(floor(pcol * 8 / 20) AS BIGINT) AS gj, avg(red) * 30 AS pred
+        "seen": """SELECT city, CAST(floor(prow * 8 / 20) AS BIGINT) AS gi, CAST(floor(pcol * 8 / 20) AS BIGINT) AS gj, avg(red) * 30 AS pred
 FROM b_scene_pixel GROUP BY ALL""",
+        # a grid cell that was never predicted is 0
+        "cell": """SELECT c.city, r.range AS gi, k.range AS gj, coalesce(s.pred, 0) AS pred
+FROM (SELECT DISTINCT city FROM seen) c CROSS JOIN range(8) r CROSS JOIN range(8) k
+LEFT JOIN seen s ON s.city = c.city AND s.gi = r.range AND s.gj = k.range""",
         "zoom": f"""SELECT a.city, o.r AS zr, o.c AS zc,
   (1 - (o.r * 7 / 19.0E0 - {zoomed('o.r')})) * ((1 - (o.c * 7 / 19.0E0 - {zoomed('o.c')})) * a.pred + (o.c * 7 / 19.0E0 - {zoomed('o.c')}) * b.pred)
   + (o.r * 7 / 19.0E0 - {zoomed('o.r')}) * ((1 - (o.c * 7 / 19.0E0 - {zoomed('o.c')})) * c.pred + (o.c * 7 / 19.0E0 - {zoomed('o.c')}) * d.pred) AS v
