@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from pavement.plans.registry import QUERIES, SQL
-from pavement.plans import raster_queries, sample_queries, scalar_queries, spatial_queries  # noqa: F401
+from pavement.plans import (learning_queries, raster_queries, sample_queries,  # noqa: F401
+                            scalar_queries, spatial_queries)
 
 __all__ = ["QUERIES", "SQL"]
