@@ -55,7 +55,7 @@ def kmeans_by_city(df: DataFrame, columns=DENSITIES, k: int = 5, iters: int = 20
     keeps its points with a null cluster.
     """
     scaled = [f"{c}_scaled" for c in columns]
-    rows = minmax_by_city(df, list(columns), key)
+    rows = minmax_by_city(written(df), list(columns), key)
     score = sum((F.coalesce(c, F.lit(0.0)) for c in scaled[1:]), F.coalesce(scaled[0], F.lit(0.0)))
     usable = F.coalesce(*scaled).isNotNull()
     all_points = written(rows.withColumns({"_score": score, "_usable": usable}))

@@ -12,11 +12,24 @@ from pavement.operators.ranking import draw, exact_percentiles, global_rank
 from pavement.plans.storage import join_side, written
 
 
+_GROUP_LIMIT = 1000  # up to this rank Spark cuts a group inside each task, before the shuffle
+
+
 def _first(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
-    """First ``n`` rows per group. The rank filter is applied per task before the shuffle
-    (window group limit), so a huge group sends only ``n`` rows per task."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n)
+    """First ``n`` rows per group.
+
+    The rank filter is applied per task before the shuffle (window group limit), so
+    a huge group sends only ``n`` rows per task. Beyond that limit the group is cut
+    in 64 slices first; the first ``n`` of a group are among the first ``n`` of its slices.
+    """
+    def ranked(rows: DataFrame, groups: list[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+        return rows.withColumn("_rank", rank).where(F.col("_rank") <= n)
+
+    if n > _GROUP_LIMIT:
+        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(64)))
+        df = ranked(sliced, [*by, "_slice"]).drop("_slice", "_rank")
+    return ranked(df, by)
 
 
 def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

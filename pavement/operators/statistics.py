@@ -75,7 +75,10 @@ def feature_stats(df: DataFrame, features: str = "osm_features", n: int = 15) ->
 
 def standardise_features(df: DataFrame, features: str = "osm_features", n: int = 15,
                          out: str = "tabular") -> DataFrame:
-    """Log z-score of the features of all splits with the statistics of the train split."""
+    """Log z-score of the features of all splits with the statistics of the train split.
+
+    The input is read twice: pass a written table when it is expensive to compute.
+    """
     stats = split_rows(df, "train", None).agg(*_feature_aggregates(features, n)).select(
         F.struct("_mean", "_std").alias("_s")).scalar()
     return (df.withColumn("_s", stats)
@@ -139,7 +142,8 @@ def enrich_status(df: DataFrame, label: str = LABEL) -> DataFrame:
 def minmax_by_city(df: DataFrame, columns: list[str], key: str = "city") -> DataFrame:
     """Min-max scaling within each city: 0 for a constant column, null for one that sums to 0.
 
-    Aggregate and join back, not a window, so that a city is never one task.
+    Aggregate and join back, not a window, so that a city is never one task. The
+    input is read twice: pass a written table when it is expensive to compute.
     """
     stats = df.groupBy(key).agg(*[
         fn(c).alias(f"_{name}_{c}") for c in columns

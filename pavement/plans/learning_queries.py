@@ -65,7 +65,7 @@ def _kmeans_global(b):
 
 def training_table(b):
     """Labelled samples with split, standardised features, log z-score label and city statistics."""
-    rows = S.standardise_features(S.labelled_only(featured(b)))
+    rows = S.standardise_features(written(S.labelled_only(featured(b))))
     stats = S.city_target_stats(b.label)
     joined = J.attach_city_stats(rows, stats)
     return written(joined.withColumn("z", zscore(log_clip(F.col("population")), F.col("log_mean"), F.col("log_std")))

@@ -16,6 +16,7 @@ from pavement.plans.scalar_queries import raster_meta
 from pavement.plans.spatial_queries import (DENSITY, DENSITY_CTES, FEATURES_CTES, densities, neighbourhoods)
 from pavement.operators.density import FEATURES, feature_array
 from pavement.functions.projection import pixel_of
+from pavement.plans.storage import written
 
 QUOTA = {"EUROPE": (2, 2)}
 LOG = "ln(1 + least(greatest(population, 0), 80000))"
@@ -219,7 +220,7 @@ FROM density d JOIN (SELECT city, """ + ", ".join(
     + " FROM density GROUP BY city) s ON d.city = s.city", {**DENSITY_CTES, "density": DENSITY})
 def _minmax(b):
     columns = [f"{c}_density" for c in ("road", "building", "poi")]
-    scaled = S.minmax_by_city(densities(b), columns)
+    scaled = S.minmax_by_city(written(densities(b)), columns)
     return scaled.select("city", "pid", *[F.round(f"{c}_density_scaled", 6).alias(f"{c}_scaled")
                                           for c in ("road", "building", "poi")])
 
@@ -328,7 +329,7 @@ JOIN (SELECT city, avg(road_density) AS road_density, avg(poi_density) AS poi_de
 def _fallback(b):
     # points without any POI count as windows without layers
     columns = ["road_density", "poi_density"]
-    feats = densities(b)
+    feats = written(densities(b))
     avg = feats.groupBy("city").agg(*[F.avg(c).alias(c) for c in columns])
     out = J.valid_window_fallback(b.point.select("city", "pid"), feats.where("poi_density > 0"), avg,
                                   ["city", "pid"], columns)

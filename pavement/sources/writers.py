@@ -3,23 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def write_samples(df: DataFrame, path: str, files_per_city: int = 8) -> None:
+def write_samples(df: DataFrame, path: str) -> None:
     """One folder per city. A rerun replaces the cities it holds and leaves the others.
 
-    Each city is spread over a few writers, so a city with a third of all rows is
-    not one task, while the number of files stays bounded.
+    Rows are rebalanced by city: small cities share a writer, a very large one is
+    split over many.
     """
-    spread = F.pmod(F.xxhash64("lat", "lon"), F.lit(files_per_city))
-    (df.repartition("city", spread).write.mode("overwrite")
+    (df.hint("rebalance", "city").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(path))
 
 
 def write_layer(df: DataFrame, root: str, layer: str) -> None:
     """A map layer, one folder per city."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.hint("rebalance", "city").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("city").parquet(f"{root.rstrip('/')}/{layer}"))
 
 
