@@ -13,7 +13,7 @@ from pavement.sources import schemas
 def read_city_boxes(spark: SparkSession, path: str) -> DataFrame:
     """City document to one row per city with its extent; corners are (lat, lon)."""
     cities = spark.read.schema(schemas.CITY_BOXES).json(path, multiLine=True).select(F.inline("cities"))
-    lat, lon = (F.transform("bbox", lambda c, i=i: c[i]) for i in (0, 1))
+    lat, lon = F.transform("bbox", lambda corner: corner[0]), F.transform("bbox", lambda corner: corner[1])
     return cities.select("city", F.array_min(lon).alias("min_lon"), F.array_min(lat).alias("min_lat"),
                          F.array_max(lon).alias("max_lon"), F.array_max(lat).alias("max_lat"))
 
