@@ -17,11 +17,14 @@ def complete_cities(rgb: DataFrame, dem: DataFrame, landuse: DataFrame, name: st
 
 
 def mappable_samples(samples: DataFrame, cities: DataFrame, city: str = "city") -> DataFrame:
-    """Samples with a flag: does their city have its rasters? Kept and dropped rows in one pass."""
-    keys = cities.select("key", F.lit(True).alias("mappable"))
-    keyed = samples.withColumn("key", city_key(F.col(city)))
-    return join_side(keyed, keys, ["key"]).select(
-        *samples.columns, F.coalesce("mappable", F.lit(False)).alias("mappable"))
+    """Samples with a flag: does their city have its rasters? Kept and dropped rows in one pass.
+
+    The key is worked out once per city, not once per sample.
+    """
+    names = samples.select(city).distinct().withColumn("key", city_key(F.col(city)))
+    flags = names.join(cities.select("key", F.lit(True).alias("_has")), "key", "left")
+    return join_side(samples, flags.select(city, "_has"), [city]).select(
+        *samples.columns, F.coalesce("_has", F.lit(False)).alias("mappable"))
 
 
 def resume_cities(cities: DataFrame, done: DataFrame, key: str = "city") -> DataFrame:

@@ -85,11 +85,11 @@ def _at_home(feats: DataFrame, r: float) -> DataFrame:
             .withColumns({"_ci": _cell("_ax", r), "_cj": _cell("_ay", r)}))
 
 
-def _probes(centres: DataFrame, feats: DataFrame, kind: str, r: float, keys: list[str],
+def _probes(centres: DataFrame, sizes: DataFrame, kind: str, r: float, keys: list[str],
             centre_id: str) -> DataFrame:
     """Each centre in the nine cells around it, on every tier that has features."""
     tiers = (F.array(F.lit(0)) if kind == "points"
-             else feats.agg(F.collect_set("_tier")).scalar())  # a handful of small integers
+             else sizes.agg(F.collect_set("_tier")).scalar())  # a handful of small integers
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
                         for i in (-1, 0, 1) for j in (-1, 0, 1)])
     return (
@@ -102,9 +102,13 @@ def _probes(centres: DataFrame, feats: DataFrame, kind: str, r: float, keys: lis
 
 
 def _met(centres: DataFrame, feats: DataFrame, kind: str, r: float, keys: list[str],
-         centre_id: str, test: Column) -> DataFrame:
+         centre_id: str, test: Column, source: DataFrame | None = None) -> DataFrame:
+    """Pairs that share a cell, are near and pass the test. ``source`` is the layer whose
+    geometries ``feats`` holds; the tiers are read off it, so that they do not cost a
+    second shuffle of merged features."""
     home = _at_home(anchored(feats, kind), r)
-    probes = _probes(centres, home, kind, r, keys, centre_id)
+    sizes = home if source is None else _at_home(anchored(source, kind), r)
+    probes = _probes(centres, sizes, kind, r, keys, centre_id)
     near = (G.distance_sq(F.col("_px"), F.col("_py"), F.col("_ax"), F.col("_ay"))
             <= F.pow((F.lit(float(r)) + F.col("_half")) * _MARGIN, F.lit(2.0)))
     rest = [c for c in feats.columns if c not in keys]
@@ -113,11 +117,11 @@ def _met(centres: DataFrame, feats: DataFrame, kind: str, r: float, keys: list[s
             .select(*keys, centre_id, *rest))
 
 
-def disc_join(centres: DataFrame, feats: DataFrame, kind: str, r: float,
-              keys=("city",), centre_id: str = "pid") -> DataFrame:
+def disc_join(centres: DataFrame, feats: DataFrame, kind: str, r: float, keys=("city",),
+              centre_id: str = "pid", source: DataFrame | None = None) -> DataFrame:
     """Pairs (centre, feature) where the feature meets the disc, whole feature kept."""
     test = exact_test(feats, kind, F.col("_px"), F.col("_py"), r)
-    return _met(centres, feats, kind, r, list(keys), centre_id, test)
+    return _met(centres, feats, kind, r, list(keys), centre_id, test, source)
 
 
 def disc_join_points(centres, feats, r, keys=("city",), centre_id="pid") -> DataFrame:
@@ -172,7 +176,7 @@ def disc_sums(centres: DataFrame, layers: list[tuple[DataFrame, str, list[str],
     parts = [centres.select(*keys, centre_id, *[F.lit(0.0).alias(n) for n in names])]
     for feats, kind, shape, sums in layers:
         merged = merge_copies(feats, keys + shape, sums)
-        pairs = disc_join(centres, merged, kind, r, keys, centre_id)
+        pairs = disc_join(centres, merged, kind, r, keys, centre_id, source=feats.select(*keys, *shape))
         parts.append(pairs.select(*keys, centre_id, *[
             (F.col(n) if n in sums else F.lit(0.0)).cast("double").alias(n) for n in names]))
     return (reduce(DataFrame.unionByName, parts).groupBy(*keys, centre_id)

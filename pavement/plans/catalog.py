@@ -2,6 +2,6 @@
 
 from pavement.plans.registry import QUERIES, SQL
 from pavement.plans import (learning_queries, raster_queries, sample_queries,  # noqa: F401
-                            scalar_queries, spatial_queries)
+                            scalar_queries, source_queries, spatial_queries)
 
 __all__ = ["QUERIES", "SQL"]
