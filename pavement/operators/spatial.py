@@ -7,7 +7,8 @@ feature of it. Here both sides meet on a grid cell instead:
   on a grid chosen by its size: tier ``k`` holds features that reach at most
   ``r/4 * 2**k`` from their anchor. The large side is never replicated, so no
   pair can be met twice and nothing has to be deduplicated afterwards;
-* a centre probes the 3 x 3 cells around it on every tier that occurs;
+* a centre probes the cells that its disc, widened by the tier's reach, touches:
+  eight of the 3 x 3 around it on average, on every tier that occurs;
 * the exact test runs inside the join.
 
 The join key is (keys, tier, cell): never the city alone. A dense cell is a
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from pavement.functions import geometry as G
 
-# Relative margin of the cell side, so rounding can never push a match out of reach.
+# Relative margin of the reach, so rounding can never push a match out of it.
 _MARGIN = 1.0 + 1e-9
-_ANCHOR = ["_ax", "_ay", "_half"]
+# Cells per reach. Smaller cells follow the disc more closely, so fewer features are
+# tested in vain, but a centre is sent to more cells; measured, that did not pay.
+_FINE = 1
 
 
 def anchored(feats: DataFrame, kind: str) -> DataFrame:
@@ -66,10 +69,15 @@ def disc_intersects(df: DataFrame, kind: str, x: str, y: str, r: float, out: str
     return shaped.withColumn(out, hit).select(*df.columns, out)
 
 
-def _side(r: float) -> Column:
+def _reach(r: float) -> Column:
+    """How far from a centre the anchor of a feature of the tier can be."""
     return (F.lit(float(r)) + F.lit(r / 4.0) * F.pow(F.lit(2.0), F.col("_tier"))) * _MARGIN
 
 
+def _side(r: float) -> Column:
+    return _reach(r) / _FINE
+
+
 def _cell(coordinate: str, r: float) -> Column:
     """Cell number. The coalesce makes it non-nullable, so the optimizer infers no
     null filter that would evaluate the whole expression again below the join; a
@@ -87,17 +95,25 @@ def _at_home(feats: DataFrame, r: float) -> DataFrame:
 
 def _probes(centres: DataFrame, sizes: DataFrame, kind: str, r: float, keys: list[str],
             centre_id: str) -> DataFrame:
-    """Each centre in the nine cells around it, on every tier that has features."""
+    """Each centre in the cells its widened disc touches, on every tier that has features."""
     tiers = (F.array(F.lit(0)) if kind == "points"
              else sizes.agg(F.collect_set("_tier")).scalar())  # a handful of small integers
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                        for i in (-1, 0, 1) for j in (-1, 0, 1)])
+                        for i in range(-_FINE, _FINE + 1) for j in range(-_FINE, _FINE + 1)])
+
+    def gap(position: str, cell: str) -> Column:
+        low = F.col(cell) * F.col("_side")
+        return F.greatest(low - F.col(position), F.col(position) - low - F.col("_side"), F.lit(0.0))
+
+    touched = F.hypot(gap("_px", "_ci"), gap("_py", "_cj")) <= _reach(r)
     return (
         centres.select(*keys, centre_id, F.col("x").alias("_px"), F.col("y").alias("_py"))
         .withColumn("_tier", F.explode(tiers))
+        .withColumn("_side", _side(r))
         .withColumn("_o", F.explode(offsets))
         .withColumns({"_ci": _cell("_px", r) + F.col("_o.i"), "_cj": _cell("_py", r) + F.col("_o.j")})
-        .drop("_o")
+        .where(touched)
+        .drop("_o", "_side")
     )
 
 

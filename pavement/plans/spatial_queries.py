@@ -13,17 +13,18 @@ from pavement.operators import density as D
 from pavement.operators import spatial as S
 from pavement.plans.bindings import Bindings
 from pavement.plans.registry import query
+from pavement.plans.storage import written
 
 R, WIDE = 250, 1120
 
 
 def buildings(b: Bindings) -> DataFrame:
-    """The building layer with rings: squares, or a lone vertex for point geometries."""
+    """The building layer with rings, stored: squares, or a lone vertex for point geometries."""
     cx, cy, h = F.col("cx"), F.col("cy"), F.col("half")
     square = F.array(G.vertex(cx - h, cy - h), G.vertex(cx + h, cy - h),
                      G.vertex(cx + h, cy + h), G.vertex(cx - h, cy + h))
     ring = F.when(F.col("geom_type") == "Point", F.array(G.vertex(cx, cy))).otherwise(square)
-    return b.building.withColumn("rings", F.array(ring))
+    return written(b.building.withColumn("rings", F.array(ring)))
 
 
 def paths(b: Bindings) -> DataFrame:
