@@ -263,8 +263,9 @@ def _feature_table(b):
 RASTERS = {
     "rgb": "SELECT DISTINCT concat(replace(city, ', ', '_'), '_10m.tif') AS file FROM b_scene_pixel",
     "dem_files": "SELECT DISTINCT concat(replace(city, ', ', '_'), '_DEM.tif') AS file FROM b_stop",
-    "lu": "SELECT DISTINCT concat(replace(city, ', ', '_'), '_LandUse.tif') AS file FROM b_point p JOIN customer c "
-          "ON c.c_custkey = p.pid WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9900",
+    # land use is mapped where customers are better off than on average
+    "lu": """SELECT concat(replace(city, ', ', '_'), '_LandUse.tif') AS file FROM b_point p JOIN customer c ON c.c_custkey = p.pid
+GROUP BY city HAVING avg(c_acctbal) > (SELECT avg(c_acctbal) FROM customer)""",
     "complete": """SELECT r.key, r.file AS rgb_file, d.file AS dem_file, l.file AS landuse_file FROM
   (SELECT *, regexp_replace(lower(replace(file, '_10m.tif', '')), '[^a-z0-9]', '', 'g') AS key FROM rgb) r
   JOIN (SELECT *, regexp_replace(lower(replace(file, '_DEM.tif', '')), '[^a-z0-9]', '', 'g') AS key FROM dem_files) d ON r.key = d.key
@@ -276,9 +277,11 @@ def rasters(b):
     def files(cities, suffix):
         return cities.select(F.concat(F.replace("city", F.lit(", "), F.lit("_")), F.lit(suffix)).alias("file")).distinct()
 
-    rich = b.base("customer").where("c_mktsegment = 'BUILDING' AND c_acctbal > 9900").select(F.col("c_custkey").alias("pid"))
-    return (files(b.scene_pixel, "_10m.tif"), files(b.stop, "_DEM.tif"),
-            files(b.point.join(rich, "pid"), "_LandUse.tif"))
+    customers = b.base("customer").select(F.col("c_custkey").alias("pid"), "c_acctbal")
+    means = b.point.join(customers, "pid").groupBy("city").agg(F.avg("c_acctbal").alias("_m"))
+    overall = customers.agg(F.avg("c_acctbal")).scalar()
+    mapped = means.withColumn("_o", overall).where("_m > _o")
+    return files(b.scene_pixel, "_10m.tif"), files(b.stop, "_DEM.tif"), files(mapped, "_LandUse.tif")
 
 
 @query("complete_cities", "SELECT * FROM complete", RASTERS)
