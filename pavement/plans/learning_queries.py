@@ -32,8 +32,9 @@ def _kmeans_ctes() -> dict[str, str]:
     means = ", ".join(f"avg({c}) AS {c}" for c in _SCALED)
     ctes = {
         **DENSITY_CTES, "density": DENSITY,
-        "scaled": f"SELECT city, pid, {scale}, count(*) OVER w AS n FROM density WINDOW w AS (PARTITION BY city)",
-        "pts": f"SELECT *, {' + '.join(_SCALED)} AS score FROM scaled WHERE n >= {K}",
+        "scaled": f"SELECT city, pid, {scale}, count(*) OVER w AS n, "
+                  f"sum(road_density + building_density + poi_density) OVER w AS mass FROM density WINDOW w AS (PARTITION BY city)",
+        "pts": f"SELECT *, {' + '.join(_SCALED)} AS score FROM scaled WHERE n >= {K} AND mass > 0",  # a city without any density is not clustered
         "cuts": f"SELECT city, {cuts} FROM pts GROUP BY city",
         "c1": f"SELECT city, cluster, {means} FROM (SELECT p.*, {band} AS cluster FROM pts p JOIN cuts USING (city)) GROUP BY city, cluster",
     }
