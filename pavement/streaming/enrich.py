@@ -36,7 +36,7 @@ def enrich_with(client: Callable, schema: str) -> Callable[[DataFrame], DataFram
 def enriched(spark: SparkSession, out: str, schema: str) -> DataFrame:
     """The enriched points so far, empty before the first batch."""
     try:
-        return spark.read.schema(schema).option("basePath", out).parquet(f"{out.rstrip('/')}/batch_id=*")
+        return spark.read.schema(schema).parquet(out).drop("batch_id")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -30,7 +30,7 @@ def _cell(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if isinstance(v, float):
-        return repr(v + 0.0)
+        return repr(v)  # strict: the sign of zero counts
     return str(v)
 
 

@@ -3,6 +3,7 @@ import sys
 
 import pytest
 
+os.environ.setdefault("PAVEMENT_SHUFFLE", "3")  # the test frames are small
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))

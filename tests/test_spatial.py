@@ -91,7 +91,8 @@ def test_feature_fallbacks(spark):
 def test_dense_cell_is_split(spark):
     """A third of all features in one cell: the skewed partition is split, nothing is lost."""
     settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.autoBroadcastJoinThreshold": "-1",
-                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                "spark.sql.shuffle.partitions": "8"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
