@@ -25,6 +25,8 @@ WIDTH = 10
 LIMIT = 2_000_000
 #: Words of the contract, over UTF-8 bytes: letters, digits and everything beyond ASCII.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words before lower-casing.
+_CASED = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _MULT = 0x9E3779B97F4A7C15
 _MASK = 0xFFFFFFFFFFFFFFFF
 
@@ -98,7 +100,7 @@ class Windows:
 
 def word_spans(text: str) -> list[tuple[int, int]]:
     """Code-point spans of the normalised words, in order."""
-    return [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+    return [m.span() for m in _CASED.finditer(text)]
 
 
 def hit_spans(text: str, hit: np.ndarray) -> list[dict]:
