@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
 The distinct words of a batch of documents are laid end to end as one array of
-symbols. An inverted index maps each token pair to the positions where it
-stands in any word, and a heap holds the ranks of the pairs in the index. Merges
-are applied in rank order over all words at once; a merge touches its two
-neighbours only. A pair's positions are visited from left to right, and when a
-merge makes a pair of lower rank than the one at work, the rest waits its turn,
-so each word sees its merges exactly as if it were encoded alone.
+symbols. An inverted index maps each mergeable pair (by the rank of its merge)
+to the positions where it stands in any word, and a heap holds the ranks in the
+index. Merges are applied in rank order, each to all its positions at once; only
+the two neighbours of a merged pair are looked up and indexed anew. Overlapping
+positions go from left to right. A word in which a merge makes a pair of lower
+rank than the one at work is encoded by itself, so every word's ids are those of
+encoding it alone.
 
 There is no shuffle: words repeat mostly within a batch, and one batch (a few
 tens of MB, set by Spark's Arrow batch limits) is one corpus to replay. Each
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,7 @@ from pyspark.sql import functions as F
 
 from pavement.llm.columns import arrow_struct, sha256, with_struct
 
-#: White space as the tokenizer's own pattern engine has it (Unicode White_Space); Python's \s adds
-#: the four separators U+001C to U+001F, so they are taken out by name.
-_SPACE = r"[\p{White_Space}]"
-_MEMORY = 400_000   # words whose ids a worker remembers between batches
+_MEMORY = 1_000_000   # words whose ids a worker remembers between batches
 
 
 @functools.lru_cache(maxsize=4)
@@ -47,106 +46,150 @@ def load_ranks(path: str) -> tuple[dict[bytes, int], list[bytes]]:
 
 
 @functools.lru_cache(maxsize=8)
-def splitter(pattern: str) -> regex.Pattern:
-    """The word pattern with white space as the tokenizer has it."""
-    spelled = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", _SPACE)
-    return regex.compile(spelled)
+def splitter(pattern: str):
+    """A function from text to its words. For ASCII texts the classes of the pattern are spelled out, which is faster."""
+    plain = pattern
+    for name, letters in ((r"[^\s\p{L}\p{N}]", r"[^ \t\n\r\f\vA-Za-z0-9]"), (r"\p{L}", "[A-Za-z]"), (r"\p{N}", "[0-9]"),
+                          (r"\S", r"[^ \t\n\r\f\v]"), (r"\s", r"[ \t\n\r\f\v]")):
+        plain = plain.replace(name, letters)
+    every = regex.compile(pattern).findall
+    if r"\p" in plain or "(?i" in plain or re.search(r"\[[^\]]*\[", plain):
+        return every  # classes that are not spelled out
+    narrow = re.compile(plain).findall
+    return lambda text: narrow(text) if text.isascii() else every(text)
 
 
 class Merges:
-    """Ids of pairs of ids, found on demand from the ranks."""
+    """All merges of a vocabulary: the pairs of ids whose bytes together are a token, and that token's rank."""
 
     def __init__(self, ranks: dict[bytes, int], tokens: list[bytes]):
-        self.ranks, self.tokens, self.known = ranks, tokens, {}
-        self.bytes_ = [ranks[bytes([b])] for b in range(256)]
-
-    def rank(self, a: int, b: int) -> int:
-        """Rank of the merge of a and b, -1 if there is none."""
-        pair = (a << 32) | b
-        got = self.known.get(pair)
-        if got is None:
-            if len(self.known) > 2_000_000:
-                self.known.clear()
-            got = self.known[pair] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return got
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word, by one replay of all merges over all words."""
-        rank, known = self.rank, self.known
-        flat = b"".join(words)
-        ids = np.array(self.bytes_, np.int64)[np.frombuffer(flat, np.uint8)].tolist()
+        self.ranks, self.tokens = ranks, tokens
+        pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[(left << 32) | right] = rank
+        self.pairs = np.array(sorted(pairs), np.int64) if pairs else np.array([-1], np.int64)
+        self.rank_of = np.array([pairs.get(p, -1) for p in self.pairs.tolist()], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of ids, -1 where there is none."""
+        codes = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == codes, self.rank_of[at], -1)
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (little-endian unsigned 32-bit), by one replay of the merges over all words."""
+        if not words:
+            return []
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes)
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         n = len(ids)
-        ends = np.cumsum([len(w) for w in words]).tolist()
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        start = 0
-        for end in ends:
-            if end > start:
-                before[start], after[end - 1] = -1, -1
-            start = end
-        index: dict[int, list[int]] = {}      # pair -> positions of its left symbol
-        ranked: dict[int, list[int]] = {}     # rank -> pairs; two splits of a token share its rank
-        heap: list[int] = []
-
-        def note(at: int, low: int) -> bool:
-            """Index the pair that begins at ``at``; true if its rank is below ``low``."""
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends - sizes] = -1
+        index = _Index()
+        # between bytes, one table holds all ranks
+        table = self.look_up(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
+        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        starts = np.flatnonzero(after >= 0)
+        index.add(table[raw[starts] * 256 + raw[starts + 1]], starts)
+        astray = []   # merges that made a pair of lower rank: their words are done by themselves
+        while index.heap:
+            r, at = index.pop()
+            at = at[(ids[at] >= 0) & (after[at] >= 0)]
+            at = at[self.look_up(ids[at], ids[after[at]]) == r]
+            if not len(at):
+                continue
             right = after[at]
-            pair = (ids[at] << 32) | ids[right]
-            r = known.get(pair)
-            if r is None:
-                r = rank(ids[at], ids[right])
-            if r < 0:
-                return False
-            places = index.get(pair)
-            if places is None:
-                index[pair] = [at]
-                pairs = ranked.get(r)
-                if pairs is None:
-                    ranked[r] = [pair]
-                    heapq.heappush(heap, r)
-                else:
-                    pairs.append(pair)
-            else:
-                places.append(at)
-            return r < low
-
-        for at in range(n):
-            if after[at] >= 0:
-                note(at, -1)
-        while heap:
-            r = heapq.heappop(heap)
-            pairs = ranked.pop(r)
-            todo = [(at, pair) for pair in pairs for at in index.pop(pair)]
-            todo.sort()
-            for i, (at, pair) in enumerate(todo):
+            touching = np.flatnonzero(right[:-1] == at[1:])
+            if len(touching):  # overlapping pairs go from left to right: of a chain, every other one
+                linked = np.zeros(len(at), bool)
+                linked[touching + 1] = True
+                place = np.arange(len(at))
+                begin = np.maximum.accumulate(np.where(linked, 0, place))
+                at = at[(place - begin) % 2 == 0]
                 right = after[at]
-                if right < 0 or ids[at] != pair >> 32 or ids[right] != pair & 0xFFFFFFFF:
-                    continue  # one of the two went into another merge
-                ids[at], beyond = r, after[right]
-                ids[right], after[right] = -1, -1
-                after[at] = beyond
-                lower = False
-                if beyond >= 0:
-                    before[beyond] = at
-                    lower = note(at, r)
-                left = before[at]
-                if left >= 0:
-                    lower = note(left, r) or lower
-                if lower:  # a lower rank comes first: what is left of this one waits
-                    for later, other in todo[i + 1:]:
-                        if other not in index:
-                            index[other] = []
-                            if r not in ranked:
-                                ranked[r] = []
-                                heapq.heappush(heap, r)
-                            ranked[r].append(other)
-                        index[other].append(later)
-                    break
-        out, start = [], 0
-        for end in ends:
-            out.append([x for x in ids[start:end] if x >= 0])
-            start = end
+            beyond = after[right]
+            ids[at], ids[right] = r, -1
+            after[at] = beyond
+            more = beyond >= 0
+            before[beyond[more]] = at[more]
+            left = before[at]
+            lefts = np.concatenate([left[left >= 0], at[more]])
+            found = self.look_up(ids[lefts], ids[after[lefts]])
+            if len(found) and ((found >= 0) & (found < r)).any():
+                astray.append(lefts[(found >= 0) & (found < r)])
+            index.add(found, lefts)
+        alive = ids >= 0
+        flat, kept = ids[alive].astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(alive)))
+        bounds = (kept[np.concatenate(([0], ends))] * 4).tolist()
+        out = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+        for word in np.unique(np.searchsorted(ends, np.concatenate(astray), side="right")).tolist() if astray else ():
+            out[word] = self.alone(words[word])
         return out
 
+    def alone(self, word: bytes) -> bytes:
+        """One word, by a heap of (rank, place): for the rare word whose merges do not come in rank order."""
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        after, before = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def note(at: int) -> None:
+            right = after[at]
+            r = self.ranks.get(self.tokens[ids[at]] + self.tokens[ids[right]], -1)
+            if r >= 0:
+                heapq.heappush(heap, (r, at, ids[at], ids[right]))
+
+        for at in range(len(ids) - 1):
+            note(at)
+        while heap:
+            r, at, a, b = heapq.heappop(heap)
+            right = after[at]
+            if right < 0 or ids[at] != a or ids[right] != b:
+                continue
+            ids[at], ids[right], after[at] = r, -1, after[right]
+            if after[at] >= 0:
+                before[after[at]] = at
+                note(at)
+            if before[at] >= 0:
+                note(before[at])
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+
+
+class _Index:
+    """Inverted index from the rank of a pair to the places where its left symbol stands, popped in rank order."""
+
+    def __init__(self):
+        self.places: dict[int, list[np.ndarray]] = {}
+        self.heap: list[int] = []
+
+    def add(self, ranks: np.ndarray, places: np.ndarray) -> None:
+        use = ranks >= 0
+        ranks, places = ranks[use], places[use]
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        at = [0, *cuts.tolist(), len(ranks)]
+        known = self.places
+        for r, a, b in zip(ranks[at[:-1]].tolist(), at, at[1:]):
+            held = known.get(r)
+            if held is None:
+                known[r] = [places[a:b]]
+                heapq.heappush(self.heap, r)
+            else:
+                held.append(places[a:b])
+
+    def pop(self) -> tuple[int, np.ndarray]:
+        r = heapq.heappop(self.heap)
+        held = self.places.pop(r)
+        return r, np.unique(np.concatenate(held))
+
 
 @functools.lru_cache(maxsize=4)
 def _merges(path: str) -> Merges:
@@ -157,7 +200,7 @@ class Encoder:
     """Texts of one worker to ids; remembers words, so that a frequent word is replayed once."""
 
     def __init__(self, path: str, pattern: str):
-        self.merges, self.find = _merges(path), splitter(pattern).findall
+        self.merges, self.find = _merges(path), splitter(pattern)
         self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -175,7 +218,7 @@ class Encoder:
                 else:
                     fresh.append((word, raw))
         for (word, _), ids in zip(fresh, self.merges.replay([raw for _, raw in fresh])):
-            words[word] = np.array(ids, "<u4").tobytes()
+            words[word] = ids
         return [b"".join(map(words.__getitem__, parts)) for parts in split]
 
 
@@ -194,7 +237,7 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def _blocks(texts: pa.Array, most: int = 8_000_000):
+def _blocks(texts: pa.Array, most: int = 16_000_000):
     """Runs of texts of about ``most`` characters, so that one replay has a bounded size."""
     block, size = [], 0
     for scalar in texts:
