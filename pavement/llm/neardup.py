@@ -174,7 +174,10 @@ class Joiner:
         for tree in range(trees):
             chosen = [c for c in range(COORDINATES) if draw.random() < 100 / self.percent / COORDINATES]
             paths += [F.xxhash64(F.lit(tree), F.lit(c), value(c)) for c in chosen or [draw.randrange(COORDINATES)]]
-        nodes = self.classes.select("class", F.explode(F.array(*paths)).alias("node"))
+        return self.grow(self.classes.select("class", F.explode(F.array(*paths)).alias("node")), depth)
+
+    def grow(self, nodes: DataFrame, depth: int = DEPTH) -> DataFrame | None:
+        """Compare within the nodes (node, class) and branch the large ones until all are done."""
         for at in range(depth):
             rest = self.level(nodes, at == depth - 1)
             if rest is None:

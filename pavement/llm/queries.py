@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavement.llm import bpe, decontaminate, neardup, pii, quality, sharding, toxicity
+from pavement.llm import bpe, decontaminate, extract, neardup, passages, pii, quality, sharding, toxicity
 from pavement.llm.columns import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,13 @@ def _flat(found: tuple[DataFrame, str], *keys: str) -> DataFrame:
     return df.select(*keys, f"{name}.*")
 
 
+@query
+def op1_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document that repeat elsewhere, and the spans to remove."""
+    return (passages.repeated_passages(table(spark, folder, "documents")).drop("row_hash")
+            .withColumn("repeated", F.col("n_repeated") > 0))
+
+
 @query
 def op2_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Shards 0 to 15 of all documents by proportional stratified interleaving; the law is ``rows``."""
@@ -56,6 +63,13 @@ def op5_chosen_path_near_duplicates(spark: SparkSession, folder: str) -> DataFra
             .select("doc_id", "n_shingles", "component_id", "kept"))
 
 
+@query
+def op7_block_labeller(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages")
+    return _flat(extract.main_text(pages, extract.train(pages)), "page_id", "url")
+
+
 @query
 def op8_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document."""
