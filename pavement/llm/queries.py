@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavement.llm import bpe, decontaminate, extract, neardup, passages, pii, quality, sharding, toxicity
+from pavement.llm import (bpe, decontaminate, extract, neardup, passages, pii, quality, repeats, sharding,
+                          toxicity)
 from pavement.llm.columns import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -63,6 +64,12 @@ def op5_chosen_path_near_duplicates(spark: SparkSession, folder: str) -> DataFra
             .select("doc_id", "n_shingles", "component_id", "kept"))
 
 
+@query
+def op6_prefix_free_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that lie in a 400-byte string with another occurrence."""
+    return repeats.repeats(table(spark, folder, "documents")).drop("spans")
+
+
 @query
 def op7_block_labeller(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
