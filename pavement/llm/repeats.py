@@ -40,7 +40,7 @@ from pavement.llm.neardup import BROADCAST_ROWS
 from pavement.plans.storage import written
 
 LENGTH = 400
-WIDE, NARROW = 128, 32
+WIDE, NARROW = 180, 32
 _GRAM = 8
 
 
@@ -192,7 +192,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     places = written(named.select("name", F.explode(F.arrow_udf(_wide, "array<struct<at:int,core:long>>")("text")).alias("p"))
                      .select("name", "p.at", "p.core"))
     often = written(places.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"))
-    near = written(places.join(_few(often), "core").groupBy("name").agg(F.collect_set("at").alias("places")))
+    near = written(places.join(often, "core").groupBy("name").agg(F.collect_set("at").alias("places")))
     # from here on a text stands for all its copies, with their number as its weight
     copies = named.join(_few(near.select("name")), "name", "left_semi")
     texts = written(copies.groupBy("name").agg(F.first("text").alias("text"), F.count("*").alias("copies")).join(near, "name"))
@@ -214,7 +214,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         F.arrow_udf(_suffixes, "array<struct<start:int,name:long,weight:long>>")("text", "open")).alias("s"))
         .select("name", "s.start", F.col("s.name").alias("string"), "s.weight"))
     twice = written(suffixes.groupBy("string").agg(F.sum("weight").alias("c")).where("c > 1").select("string"))
-    single = (suffixes.join(_few(twice), "string").groupBy("name").agg(F.collect_set("start").alias("single")))
+    single = (suffixes.join(twice, "string").groupBy("name").agg(F.collect_set("start").alias("single")))
     done = ready.join(written(single), "name", "left").select("name", F.arrow_udf(_cut, _CUT)("text", "whole", "single").alias("r"))
     return done.select("name", "r.*").where("n_removed > 0")
 

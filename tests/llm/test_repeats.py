@@ -69,7 +69,7 @@ def test_nothing_to_remove(spark):
 def test_triggers_are_local():
     draw = random.Random(2)
     body = bytes(draw.randrange(97, 110) for _ in range(2000))
-    for width in (32, 128):
+    for width in (32, 180):
         inner = set((repeats.triggers(body, width)).tolist())
         around = repeats.triggers(b"x" * 77 + body + b"y" * 50, width) - 77
         edge = width - 1
