@@ -5,12 +5,13 @@ class has ``COORDINATES`` min-hashes. A tree sends a class down the paths that
 its min-hashes at chosen coordinates spell: at the root about 1 / similarity
 coordinates are chosen, so that a similar pair shares a path with near
 certainty over ``TREES`` independent trees. A node that is small is compared
-exhaustively; a large one is branched again by two more chosen coordinates.
+exhaustively; a large one is branched again by more chosen coordinates. What is
+still large at the last level is compared exhaustively too.
 
 Only components are asked for, which keeps large groups of copies linear: the
 classes of a node are first compared with the smallest of the node, and after
-that only pairs from different components are. A node whose classes are all in
-one component is done, whatever its size. Candidates must look similar on their
+that only those not linked to it are compared with the others. A node whose
+classes are all known to be in one component is done, whatever its size. Candidates must look similar on their
 signatures (four standard deviations of slack), and every link is confirmed on
 the full sets.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,10 @@ from pavement.plans.storage import written
 COORDINATES = 64
 TREES = 8
 SMALL = 16
-DEPTH = 12
+#: A large node gets so many branches, each of so many coordinates at a time: a pair at 0.8 stays
+#: together in one of them with a chance of 0.91 (in each tree), a pair at 0.5 with one of 0.12.
+BRANCHES, STEPS = 8, 6
+DEPTH = 5
 #: Rows of a side that may be broadcast: 16-byte keys, so about 100 MB. Beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -106,15 +111,14 @@ class Joiner:
     """The links among classes, found level by level; holds the links confirmed so far."""
 
     def __init__(self, classes: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int):
-        """``classes``: (class, sig), written. ``sets``: written classes -> (class, set)."""
+        """``classes``: (class, sig), written. ``sets``: classes that are asked for -> (class, set)."""
         self.classes, self.sets, self.percent = classes, sets, percent
         t = percent / 100
         self.least = math.floor(COORDINATES * max(0.0, t - 4 * math.sqrt(t * (1 - t) / COORDINATES)))
         self.links: list[DataFrame] = []
-        self.labels: DataFrame | None = None
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Add the pairs (a, b) that hold on the full sets to the links, and merge their components."""
+    def confirm(self, pairs: DataFrame) -> DataFrame | None:
+        """The pairs (a, b) that hold on the full sets, written and added to the links; None without any."""
         sig = self.classes
         likely = written(
             pairs.distinct()
@@ -122,9 +126,8 @@ class Joiner:
             .join(sig.select(F.col("class").alias("b"), F.col("sig").alias("sb")), "b")
             .where(F.arrow_udf(_agreeing, "int")("sa", "sb") >= self.least).select("a", "b"))
         if likely.isEmpty():
-            return
-        needed = written(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-        sets = written(self.sets(needed))
+            return None
+        sets = written(self.sets(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()))
         size = lambda c: F.octet_length(c) / 8
         links = written(
             likely.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
@@ -132,39 +135,36 @@ class Joiner:
             .where(100 * F.least(size("sa"), size("sb")) >= self.percent * F.greatest(size("sa"), size("sb")))
             .withColumn("c", F.arrow_udf(_common, "long")("sa", "sb"))
             .where(100 * F.col("c") >= self.percent * (size("sa") + size("sb") - F.col("c"))).select("a", "b"))
+        if links.isEmpty():
+            return None
         self.links.append(links)
-        every = self.links[0]
-        for more in self.links[1:]:
-            every = every.union(more)
-        self.labels = components(every)
-
-    def labelled(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with a class) and the component of each class."""
-        if self.labels is None:
-            return rows.withColumn("comp", F.col("class"))
-        named = self.labels.select(F.col("id").alias("class"), "label")
-        return rows.join(named, "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
-
-    def open_nodes(self, rows: DataFrame) -> DataFrame:
-        """Nodes, with their size, that hold classes of more than one component."""
-        return (self.labelled(rows).groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"),
-                                                         F.max("comp").alias("hi")).where("lo <> hi").select("node", "n"))
+        return links
 
     def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
-        """Compare within the nodes (node, class); the rows of large nodes that stay open, if any."""
-        heads = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("class").alias("pivot")).where("n > 1")
-        rows = written(nodes.join(heads, "node").select("node", "class", "pivot"))
-        self.confirm(rows.where(F.col("class") != F.col("pivot"))
-                     .select(F.col("pivot").alias("a"), F.col("class").alias("b")))
-        rows = written(self.labelled(rows.drop("pivot")).join(self.open_nodes(rows), "node"))
+        """Compare within the nodes (node, class, comp); the rows of large nodes that stay open, if any.
+
+        Classes of equal ``comp`` are known to be in one component. Members linked
+        to the smallest of their node take its ``comp``.
+        """
+        heads = (nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("class", "comp")).alias("pivot"),
+                                           F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi"))
+        rows = written(nodes.join(heads, "node").select("node", "class", "comp", "n", F.col("pivot.class").alias("pivot"),
+                                                        F.col("pivot.comp").alias("home")))
+        linked = self.confirm(rows.where("comp <> home").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
+        if linked is not None:
+            rows = (rows.join(linked.select(F.col("a").alias("pivot"), F.col("b").alias("class"), F.lit(True).alias("yes")),
+                              ["pivot", "class"], "left")
+                    .withColumn("comp", F.when(F.col("yes"), F.col("home")).otherwise(F.col("comp"))).drop("yes"))
+        # open is a node with members that are not known to be in the component of its smallest
+        away = rows.where("comp <> home").select("node").distinct()
+        rows = written(rows.join(away, "node", "left_semi").select("node", "class", "comp", "n", "home"))
         small = rows if last else rows.where(F.col("n") <= SMALL)
-        other = small.select("node", F.col("class").alias("b"), F.col("comp").alias("other"))
-        self.confirm(small.select("node", F.col("class").alias("a"), "comp").join(other, "node")
-                     .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("other"))).select("a", "b"))
+        apart = small.where("comp <> home").select("node", F.col("class").alias("a"), F.col("comp").alias("other"))
+        pair = [F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")]
+        self.confirm(apart.join(small, "node").where("comp <> other").select(*pair))
         if last:
             return None
-        large = rows.where(F.col("n") > SMALL).select("node", "class")
-        rest = written(large.join(self.open_nodes(large).select("node"), "node", "left_semi"))
+        rest = rows.where(F.col("n") > SMALL).select("node", "class", "comp")
         return None if rest.isEmpty() else rest
 
     def run(self, trees: int = TREES, depth: int = DEPTH) -> DataFrame | None:
@@ -177,17 +177,18 @@ class Joiner:
         return self.grow(self.classes.select("class", F.explode(F.array(*paths)).alias("node")), depth)
 
     def grow(self, nodes: DataFrame, depth: int = DEPTH) -> DataFrame | None:
-        """Compare within the nodes (node, class) and branch the large ones until all are done."""
+        """Compare within the nodes (node, class) and branch the large ones; (id, label) of the linked classes."""
+        nodes = nodes.withColumn("comp", F.col("class"))
         for at in range(depth):
             rest = self.level(nodes, at == depth - 1)
             if rest is None:
                 break
-            # each node chooses its own two coordinates for its branches
+            # each node chooses its own coordinates for its branches
             pick = lambda i: F.pmod(F.xxhash64("node", F.lit(at), F.lit(i)), F.lit(COORDINATES)).cast("int")  # noqa: B023,E731
-            branch = lambda i: F.xxhash64("node", pick(i), F.expr("sig").substr(pick(i) * 4 + 1, F.lit(4)))  # noqa: B023,E731
-            nodes = rest.join(self.classes, "class").select(
-                "class", F.explode(F.array_distinct(F.array(branch(0), branch(1)))).alias("node"))
-        return self.labels
+            value = lambda i: F.col("sig").substr(pick(i) * 4 + 1, F.lit(4))
+            branches = [F.xxhash64("node", F.lit(b), *[value(b * STEPS + i) for i in range(STEPS)]) for b in range(BRANCHES)]
+            nodes = rest.join(self.classes, "class").select("class", "comp", F.explode(F.array(*branches)).alias("node"))
+        return components(reduce(DataFrame.union, self.links)) if self.links else None
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "doc_id", text: str = "text",
