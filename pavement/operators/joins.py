@@ -10,9 +10,9 @@ from pavement.plans.storage import join_side, written
 
 
 def complete_cities(rgb: DataFrame, dem: DataFrame, landuse: DataFrame, name: str = "file") -> DataFrame:
-    """Cities that have all three rasters, matched on the key of the file name."""
-    sides = [df.select(city_key(F.col(name)).alias("key"), F.col(name).alias(f"{tag}_file"))
-             .dropDuplicates(["key"]) for df, tag in ((rgb, "rgb"), (dem, "dem"), (landuse, "landuse"))]
+    """Cities that have all three rasters, matched on the key of the file name; of several files of a key, the first by name."""
+    sides = [df.select(city_key(F.col(name)).alias("key"), F.col(name).alias("_f")).groupBy("key")
+             .agg(F.min("_f").alias(f"{tag}_file")) for df, tag in ((rgb, "rgb"), (dem, "dem"), (landuse, "landuse"))]
     return sides[0].join(sides[1], "key").join(sides[2], "key")
 
 

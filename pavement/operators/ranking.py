@@ -110,9 +110,8 @@ def running_min(df: DataFrame, by: list[str], order: str, value: str, out: str,
 
 
 def draw(id_: Column, seed: int = 42) -> Column:
-    """Seeded pseudo-random order number of an integer id, the same on any engine."""
-    small = F.pmod(id_.cast("bigint"), F.lit(100003))
-    return F.pmod(small * 7919 + seed, F.lit(100003))
+    """Seeded pseudo-random order key of an id of any type: md5 of id and seed, the same on any engine."""
+    return F.md5(F.concat(id_.cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
 __all__ = ["exact_percentiles", "global_rank", "running_min", "draw"]

@@ -142,9 +142,14 @@ def percentile_stretch(pixels: DataFrame, key: str = "city", bands=C.CHANNELS) -
 
 def downsample_mean(pixels: DataFrame, meta: DataFrame, target: int = 512, key: str = "city",
                     bands=C.CHANNELS) -> DataFrame:
-    """Block means, so that the short side of each raster comes to about ``target`` pixels."""
+    """Block means, so that the short side of each raster comes to about ``target`` pixels.
+
+    Only whole blocks count: the rows and columns left over at the far edges are dropped.
+    """
     scale = F.greatest(F.lit(1), F.floor(F.least("height", "width") / F.lit(target)))
-    sized = join_side(pixels, meta.select(key, scale.alias("_k")), [key], "inner")
+    whole = [(F.floor(F.col(side) / scale) * scale).alias(f"_{side}") for side in ("height", "width")]
+    sized = (join_side(pixels, meta.select(key, scale.alias("_k"), *whole), [key], "inner")
+             .where((F.col("prow") < F.col("_height")) & (F.col("pcol") < F.col("_width"))))
     return sized.groupBy(key, F.floor(F.col("prow") / F.col("_k")).alias("prow"),
                          F.floor(F.col("pcol") / F.col("_k")).alias("pcol")).agg(*[F.avg(b).alias(b) for b in bands])
 
@@ -189,8 +194,12 @@ def smooth_grid(grid: DataFrame, meta: DataFrame, sigma: float, key: str = "city
     down = written(_axis_weights(meta, key, "height", "n_gi", sigma, "prow", "gi"))
     wide = (grid.join(across, [key, "gj"]).groupBy(key, "gi", "pcol")
             .agg(F.sum(F.col(value) * F.col("_w")).alias("_v")))
-    full = (wide.join(down, [key, "gi"]).groupBy(key, "prow", "pcol")
-            .agg(F.sum(F.col("_v") * F.col("_w")).alias("_v")))
+    # every pixel has a zero, so that those out of reach of any grid cell are there as well
+    lattice = (meta.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("height") - 1)).alias("prow"), "width")
+               .select(key, "prow", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("width") - 1)).alias("pcol"),
+                       F.lit(0.0).alias("_v")))
+    full = (wide.join(down, [key, "gi"]).select(key, "prow", "pcol", (F.col("_v") * F.col("_w")).alias("_v"))
+            .unionByName(lattice).groupBy(key, "prow", "pcol").agg(F.sum("_v").alias("_v")))
     return full.select(key, "prow", "pcol", C.clip(F.col("_v"), 0.0, top).alias(value))
 
 

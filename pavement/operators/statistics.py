@@ -104,8 +104,8 @@ def feature_table(df: DataFrame, id_: str, features: str = "osm_features") -> Da
 
 
 def city_profiles(df: DataFrame, label: str = LABEL, key: str = "city") -> DataFrame:
-    """Per city: mean label, dominant cluster (smallest on ties), labelled rows, country."""
-    rows = labelled_only(df, label)
+    """Per city: mean label, dominant cluster (smallest on ties; a missing one counts as 0), labelled rows, country."""
+    rows = labelled_only(df, label).withColumn("cluster", F.coalesce("cluster", F.lit(0)))
     per_cluster = rows.groupBy(key, "cluster").agg(F.count("*").alias("_n"), F.sum(label).alias("_s"))
     return per_cluster.groupBy(key).agg(
         (F.sum("_s") / F.sum("_n")).alias("avg_label"),

@@ -83,7 +83,7 @@ def _swap(b):
 @query("shuffle_split", """
 SELECT city_id, city, CASE WHEN i < floor(n * 0.7E0) THEN 'train'
   WHEN i < floor(n * 0.7E0) + floor(n * 0.15E0) THEN 'val' ELSE 'test' END AS split
-FROM (SELECT city_id, city, count(*) OVER () AS n, row_number() OVER (ORDER BY (city_id * 7919 + 42) % 100003, city_id) - 1 AS i
+FROM (SELECT city_id, city, count(*) OVER () AS n, row_number() OVER (ORDER BY md5(concat(city_id, ':42')), city_id) - 1 AS i
       FROM (SELECT DISTINCT c_nationkey AS city_id, city FROM customer JOIN b_city ON c_nationkey = city_id))""")
 def _shuffle(b):
     cities = b.base("customer").select(F.col("c_nationkey").alias("city_id")).distinct().join(b.city, "city_id")
@@ -433,7 +433,7 @@ def _dedupe(b):
 
 
 @query("stratified_sample", """
-SELECT city, cluster, sid FROM (SELECT *, row_number() OVER (PARTITION BY city, cluster ORDER BY (sid * 7919 + 42) % 100003, sid) AS k
+SELECT city, cluster, sid FROM (SELECT *, row_number() OVER (PARTITION BY city, cluster ORDER BY md5(concat(sid, ':42')), sid) AS k
 FROM b_label) WHERE k <= 100""")
 def _stratified(b):
     return P.stratified_sample(b.label, id_="sid").select("city", "cluster", "sid")
@@ -442,7 +442,7 @@ def _stratified(b):
 @query("best_worst_random", """
 WITH e AS (SELECT sid, city, target, pred, abs(pred - target) AS err FROM b_pred), r AS (
   SELECT *, row_number() OVER (ORDER BY err, sid) AS a, row_number() OVER (ORDER BY err DESC, sid) AS z,
-         row_number() OVER (ORDER BY (sid * 7919 + 42) % 100003, sid) AS d FROM e), t AS (
+         row_number() OVER (ORDER BY md5(concat(sid, ':42')), sid) AS d FROM e), t AS (
 SELECT 'best' AS pick, a AS rank, * FROM r WHERE a <= 5 UNION ALL SELECT 'worst', z, * FROM r WHERE z <= 5
 UNION ALL SELECT 'random', d, * FROM r WHERE d <= 5)
 SELECT pick, rank, sid, city, round(err, 4) AS abs_error, round(100 * err / greatest(target, 1), 6) AS pct_error FROM t""".replace(
@@ -453,7 +453,7 @@ def _bwr(b):
 
 
 @query("quartile_pools", """
-SELECT pool, sid, target FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY (sid * 7919 + 42) % 100003, sid) AS k FROM (
+SELECT pool, sid, target FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY md5(concat(sid, ':42')), sid) AS k FROM (
   SELECT 'high' AS pool, sid, target FROM b_pred WHERE target >= (SELECT quantile_cont(target, 0.75) FROM b_pred)
   UNION ALL SELECT 'low', sid, target FROM b_pred WHERE target <= (SELECT quantile_cont(target, 0.25) FROM b_pred)))
 WHERE k <= 40""")

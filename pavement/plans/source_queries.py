@@ -74,7 +74,7 @@ def _samples(b):
     path = _place(b)
     b.label.select("city", "cluster", F.col("population").alias("population_15min_walk"),
                    F.col("approximation_m").alias("approximation_meters")).write.json(path)
-    return readers.read_samples(b.spark, path).select("city", "cluster", "population_15min_walk", "approximation_meters")
+    return readers.read_samples(b.spark, path, layout="lines").select("city", "cluster", "population_15min_walk", "approximation_meters")
 
 
 @query("write_samples", "SELECT sid, city, cluster FROM b_label")

@@ -18,17 +18,30 @@ def read_city_boxes(spark: SparkSession, path: str) -> DataFrame:
                          F.array_max(lon).alias("max_lon"), F.array_max(lat).alias("max_lat"))
 
 
-def read_samples(spark: SparkSession, path: str, labelled: bool = True, cities: list[str] | None = None) -> DataFrame:
-    """Sample records (a JSON array, or one record per line) with optional label and city filters.
-
-    One JSON array cannot be split and is one task; a large table should come as
-    Parquet (``write_samples``) or as JSON lines, which this reads as well.
+def read_samples(spark: SparkSession, path: str, labelled: bool = True, cities: list[str] | None = None,
+                 layout: str = "array") -> DataFrame:
+    """Sample records with optional label and city filters.
+
+    ``layout`` says what every file of ``path`` is: one JSON ``array``, or
+    ``lines`` with one record each. A record that does not parse, or a file of
+    the other layout, stops the read. Features come as a list of numbers or as an
+    object, whose values are taken in the order of its keys in the file. One JSON
+    array cannot be split and is one task; a large table should come as Parquet
+    (``write_samples``) or as lines.
     """
-    def load(whole: bool) -> DataFrame:
-        return spark.read.schema(schemas.SAMPLES).json(path, multiLine=whole)
-
-    head = spark.read.text(path).select(F.ltrim("value").alias("v")).where("v <> ''").limit(1)
-    rows = load(whole=head.where(F.col("v").startswith("[")).count() == 1)
+    if layout not in ("array", "lines"):
+        raise ValueError(f"layout is array or lines, not {layout}")
+    rows = spark.read.schema(schemas.SAMPLES).json(path, multiLine=layout == "array", mode="FAILFAST")
+    # the parser would keep the first record of a file of the other layout and skip the rest in silence
+    begins = F.regexp_replace("value", r"^\s+", "").startswith("[")
+    other = (spark.read.text(path, wholetext=True).where(~begins & (F.trim("value") != "")) if layout == "array"
+             else spark.read.text(path).where(begins))
+    if not other.limit(1).isEmpty():
+        raise ValueError(f"{path} holds a file whose layout is not {layout}")
+    text = F.col("osm_features")
+    rows = rows.withColumn("osm_features", F.coalesce(
+        F.when(text.startswith("["), F.from_json(text, "array<double>")),
+        F.when(text.startswith("{"), F.map_values(F.from_json(text, "map<string,double>")))))
     if labelled:
         rows = rows.where(F.col("population_15min_walk").isNotNull())
     if cities is not None:

@@ -6,7 +6,7 @@ CITY_BOXES = "cities array<struct<city:string, bbox:array<array<double>>>>"
 
 SAMPLES = """city string, cluster int, lat double, lon double, road_density double, building_density double,
 poi_density double, walking_isochrone struct<type:string, coordinates:string>, population_15min_walk double,
-approximation_meters double, start_point struct<lat:double, lng:double>, error string, osm_features array<double>"""
+approximation_meters double, start_point struct<lat:double, lng:double>, error string, osm_features string"""
 
 _VERTICES = "array<struct<x:double, y:double>>"
 LAYERS = {

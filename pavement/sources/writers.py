@@ -22,9 +22,13 @@ def write_layer(df: DataFrame, root: str, layer: str) -> None:
 
 
 def write_training_table(df: DataFrame, stats: dict[str, DataFrame], path: str) -> None:
-    """Training rows keyed by sample, one folder per split, beside their statistics tables."""
+    """Training rows keyed by sample, one folder per split, beside their statistics tables.
+
+    A rerun replaces all splits, so that a sample that moved to another split is
+    nowhere twice. The input must not be read from ``path``.
+    """
     root = path.rstrip("/")
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(f"{root}/samples")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("split").parquet(f"{root}/samples")
     for name, table in stats.items():
         table.write.mode("overwrite").parquet(f"{root}/{name}")
 

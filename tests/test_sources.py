@@ -37,10 +37,26 @@ def test_samples(spark, folder, layout):
     with open(f"{folder}/s.json", "w") as f:
         json.dump(records, f, indent=4) if layout == "array" else f.writelines(json.dumps(r) + "\n" for r in records)
     path = f"{folder}/s.json"
-    assert readers.read_samples(spark, path).count() == 2
-    assert readers.read_samples(spark, path, labelled=False, cities=["A, N"]).count() == 2
-    row = readers.read_samples(spark, path, cities=["A, N"]).collect()[0]
+    assert readers.read_samples(spark, path, layout=layout).count() == 2
+    assert readers.read_samples(spark, path, labelled=False, cities=["A, N"], layout=layout).count() == 2
+    row = readers.read_samples(spark, path, cities=["A, N"], layout=layout).collect()[0]
     assert row.start_point.lng == 2.5 and json.loads(row.walking_isochrone.coordinates) == [[[1, 2], [3, 4]]]
+    with pytest.raises(ValueError):
+        readers.read_samples(spark, path, layout="lines" if layout == "array" else "array")
+
+
+def test_samples_of_other_shapes(spark, folder):
+    records = [{"city": "A", "population_15min_walk": 1.0, "osm_features": [1.0, 2.0]},
+               {"city": "B", "population_15min_walk": 1.0, "osm_features": {"roads": 3.0, "pois": 4.0}},
+               {"city": "C", "population_15min_walk": 1.0}]
+    with open(f"{folder}/s.json", "w") as f:
+        f.writelines(json.dumps(r) + "\n" for r in records)
+    rows = readers.read_samples(spark, f"{folder}/s.json", layout="lines").orderBy("city").collect()
+    assert [r.osm_features for r in rows] == [[1.0, 2.0], [3.0, 4.0], None]
+    with open(f"{folder}/s.json", "a") as f:
+        f.write('{"city": "D", "popul\n')
+    with pytest.raises(Exception):
+        readers.read_samples(spark, f"{folder}/s.json", layout="lines").collect()
 
 
 def test_layers(spark, folder):
