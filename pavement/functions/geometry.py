@@ -54,9 +54,9 @@ def ring_area(ring: Column) -> Column:
 
 
 def polygon_area(rings: Column) -> Column:
-    """Area of the outer ring less the holes."""
+    """Area of the outer ring less the holes; null without a ring."""
     holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
-    return ring_area(rings[0]) - _total(F.transform(holes, ring_area))
+    return ring_area(F.get(rings, F.lit(0))) - _total(F.transform(holes, ring_area))
 
 
 def parts_area(parts: Column) -> Column:

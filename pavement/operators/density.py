@@ -28,6 +28,30 @@ def polygons_only(df: DataFrame, column: str = "geom_type") -> DataFrame:
     return df.where(F.col(column).isin(*POLYGON_TYPES))
 
 
+def shaped(df: DataFrame) -> DataFrame:
+    """Polygons with all their rings in ``rings`` and their area in ``_area``.
+
+    A layer with multi-part polygons has them in ``parts`` (rings per part); the
+    rings of all parts together bound the same points, the areas of parts add up.
+    """
+    area = G.polygon_area(F.col("rings"))
+    if "parts" not in df.columns:
+        return df.withColumn("_area", area)
+    return df.withColumns({"rings": F.coalesce(F.flatten("parts"), F.col("rings")),
+                           "_area": F.when(F.col("parts").isNull(), area).otherwise(G.parts_area(F.col("parts")))})
+
+
+def _points_and_areas(df: DataFrame, keys, measures: dict[str, Column]) -> list[tuple]:
+    """A layer of points, or of points and areas (where ``rings`` or ``parts`` is set), as layers of one kind each."""
+    if "rings" not in df.columns and "parts" not in df.columns:
+        return [(df, "points", ["x", "y"], measures)]
+    whole = shaped(df if "rings" in df.columns else df.withColumn("rings", F.flatten("parts")))
+    out = [(whole.where(F.size("rings") > 0), "polygons", ["rings"], measures)]
+    if "x" in df.columns:
+        out.append((whole.where(~F.coalesce(F.size("rings") > 0, F.lit(False))), "points", ["x", "y"], measures))
+    return out
+
+
 def _line_columns(df: DataFrame) -> list[str]:
     return ["path"] if "path" in df.columns else ["x1", "y1", "x2", "y2"]
 
@@ -46,11 +70,12 @@ def density_metrics(centres: DataFrame, roads: DataFrame, buildings: DataFrame,
     """Road length and building area per square metre, and the number of POIs, within ``r``.
 
     Whole features count as soon as they meet the disc; the POI figure is a count.
+    POIs are points, areas (``rings``, ``parts``) or both; empty geometries meet nothing.
     """
     sums = disc_sums(centres, [
         (roads, "lines", _line_columns(roads), {"_road": line_length(roads)}),
-        (polygons_only(buildings), "polygons", ["rings"], {"_built": G.polygon_area(F.col("rings"))}),
-        (pois, "points", ["x", "y"], {"_poi": F.lit(1)}),
+        (shaped(polygons_only(buildings)), "polygons", ["rings"], {"_built": F.col("_area")}),
+        *_points_and_areas(pois, keys, {"_poi": F.lit(1)}),
     ], r, keys, centre_id)
     area = math.pi * r * r
     return sums.select(
@@ -88,15 +113,23 @@ def osm_features_15(centres: DataFrame, layers: dict[str, DataFrame], r: float =
         "stop_count": (stops, F.lit(1.0)),
     }
     points = None
+    areas = []
     for layer in (nodes, pois, stops):
-        part = layer.select(*keys, "x", "y", *[
+        mine = {name: flag for name, (owner, flag) in flags.items() if owner is layer}
+        *shapes, (plain, *_) = _points_and_areas(layer, keys, mine)
+        areas += shapes
+        if "x" not in layer.columns:
+            areas.append((plain, "polygons", ["rings"], mine))
+            continue
+        part = plain.select(*keys, "x", "y", *[
             (flag if owner is layer else F.lit(0.0)).alias(name) for name, (owner, flag) in flags.items()])
         points = part if points is None else points.unionByName(part)
-    built = F.when(F.col("geom_type").isin(*POLYGON_TYPES), G.polygon_area(F.col("rings"))).otherwise(0.0)
+    built = F.when(F.col("geom_type").isin(*POLYGON_TYPES), F.col("_area")).otherwise(0.0)
     sums = disc_sums(centres, [
         (roads, "lines", _line_columns(roads), {"road_length": line_length(roads), "road_count": F.lit(1.0)}),
-        (buildings, "polygons", ["rings"], {"building_count": F.lit(1.0), "building_area": built}),
+        (shaped(buildings), "polygons", ["rings"], {"building_count": F.lit(1.0), "building_area": built}),
         (points, "points", ["x", "y"], {name: F.col(name) for name in flags}),
+        *areas,
     ], r, keys, centre_id)
     area = math.pi * r * r
     return (sums.withColumns({"road_density": F.col("road_length") / area,

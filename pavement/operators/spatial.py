@@ -32,7 +32,7 @@ _FINE = 1
 
 
 def anchored(feats: DataFrame, kind: str) -> DataFrame:
-    """Add the anchor and the reach of each feature, and its edges where needed.
+    """Add the anchor and the reach of each feature, and its edges where needed (null for an empty geometry).
 
     ``points`` need ``x, y``; ``lines`` need ``x1, y1, x2, y2`` or ``path``;
     ``polygons`` need ``rings``.
@@ -45,8 +45,9 @@ def anchored(feats: DataFrame, kind: str) -> DataFrame:
             "_ay": (F.col("y1") + F.col("y2")) / 2,
             "_half": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / 2,
         })
-    first, edges = ((F.col("path")[0], G.path_edges(F.col("path"))) if kind == "lines"
-                    else (F.col("rings")[0][0], G.polygon_edges(F.col("rings"))))
+    start = F.lit(0)
+    first, edges = ((F.get("path", start), G.path_edges(F.col("path"))) if kind == "lines"
+                    else (F.get(F.get("rings", start), start), G.polygon_edges(F.col("rings"))))
     return (feats.withColumns({"_edges": edges, "_ax": first["x"], "_ay": first["y"]})
             .withColumn("_half", G.reach(F.col("_edges"), F.col("_ax"), F.col("_ay"))))
 
@@ -65,7 +66,7 @@ def exact_test(feats: DataFrame, kind: str, x: Column, y: Column, r: float) -> C
 def disc_intersects(df: DataFrame, kind: str, x: str, y: str, r: float, out: str = "hit") -> DataFrame:
     """Flag rows whose feature meets the disc around their own (x, y)."""
     shaped = anchored(df, kind)
-    hit = exact_test(df, kind, F.col(x), F.col(y), r)
+    hit = F.coalesce(exact_test(df, kind, F.col(x), F.col(y), r), F.lit(False))
     return shaped.withColumn(out, hit).select(*df.columns, out)
 
 
@@ -122,8 +123,10 @@ def _met(centres: DataFrame, feats: DataFrame, kind: str, r: float, keys: list[s
     """Pairs that share a cell, are near and pass the test. ``source`` is the layer whose
     geometries ``feats`` holds; the tiers are read off it, so that they do not cost a
     second shuffle of merged features."""
-    home = _at_home(anchored(feats, kind), r)
-    sizes = home if source is None else _at_home(anchored(source, kind), r)
+    # a feature without coordinates meets nothing; left in, they would all share one cell
+    there = F.col("_ax").isNotNull() & F.col("_ay").isNotNull()
+    home = _at_home(anchored(feats, kind).where(there), r)
+    sizes = home if source is None else _at_home(anchored(source, kind).where(there), r)
     probes = _probes(centres, sizes, kind, r, keys, centre_id)
     near = (G.distance_sq(F.col("_px"), F.col("_py"), F.col("_ax"), F.col("_ay"))
             <= F.pow((F.lit(float(r)) + F.col("_half")) * _MARGIN, F.lit(2.0)))
@@ -188,7 +191,7 @@ def disc_sums(centres: DataFrame, layers: list[tuple[DataFrame, str, list[str],
     the centre and no outer join.
     """
     keys = list(keys)
-    names = [n for _, _, _, sums in layers for n in sums]
+    names = list(dict.fromkeys(n for _, _, _, sums in layers for n in sums))
     parts = [centres.select(*keys, centre_id, *[F.lit(0.0).alias(n) for n in names])]
     for feats, kind, shape, sums in layers:
         merged = merge_copies(feats, keys + shape, sums)

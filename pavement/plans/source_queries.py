@@ -114,20 +114,22 @@ def _report(b):
 
 
 @query("incremental_enrich", """
-SELECT event_id AS id, coalesce(o_totalprice, -1) AS population,
-       CASE WHEN o_orderkey IS NULL THEN 'Failed to get population' ELSE '' END AS error
-FROM events LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON event_id = o_orderkey""")
+SELECT event_id AS id, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_totalprice ELSE -1 END AS population,
+       CASE WHEN o_orderstatus IN ('F', 'O') THEN '' ELSE 'Failed to get population' END AS error
+FROM events LEFT JOIN orders ON event_id = o_orderkey""")
 def _stream(b):
-    """The events arrive as a stream of files, are labelled from a table, and arrive a second time."""
+    """The events arrive as a stream of files and again when the label table has grown: failed ones are tried again."""
     path = _place(b)
     points = b.base("events").select(F.col("event_id").alias("id"))
-    labels = b.base("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("population"))
 
-    def enrich(batch):
-        joined = batch.join(labels, "id", "left")
-        return joined.withColumn("error", F.when(F.col("population").isNull(), "Failed to get population"))
+    for known in (["F"], ["F", "O"]):
+        labels = (b.base("orders").where(F.col("o_orderstatus").isin(known))
+                  .select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("population")))
+
+        def enrich(batch, labels=labels):
+            joined = batch.join(labels, "id", "left")
+            return joined.withColumn("error", F.when(F.col("population").isNull(), "Failed to get population"))
 
-    for _ in range(2):
         points.write.mode("append").parquet(f"{path}/in")
         stream = b.spark.readStream.schema("id long").parquet(f"{path}/in")
         E.incremental_enrich(stream, enrich, f"{path}/out", f"{path}/state").awaitTermination()

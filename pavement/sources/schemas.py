@@ -12,7 +12,7 @@ _VERTICES = "array<struct<x:double, y:double>>"
 LAYERS = {
     "road_edges": f"city string, oid string, path {_VERTICES}, length_m double",
     "road_nodes": "city string, oid string, x double, y double, street_count int",
-    "buildings": f"city string, oid string, geom_type string, rings array<{_VERTICES}>",
+    "buildings": f"city string, oid string, geom_type string, rings array<{_VERTICES}>, parts array<array<{_VERTICES}>>",
     "pois": "city string, oid string, x double, y double, amenity string, shop string, leisure string, "
             "tourism string, office string",
     "transport": "city string, oid string, x double, y double",

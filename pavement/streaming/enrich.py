@@ -12,18 +12,31 @@ from pyspark.sql.streaming import StreamingQuery
 
 def incremental_enrich(stream: DataFrame, enrich: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
                        id_: str = "id") -> StreamingQuery:
-    """Enrich each new point once; the query ends when the input is used up and resumes on restart.
+    """Enrich each point until it has a label; the query ends when the input is used up and resumes on restart.
 
     ``enrich`` adds ``population`` and ``error`` to a batch of points: a join with a
     label table, or ``enrich_with`` for a per-batch client. Failures stay, with
-    their reason. Repeated ids are dropped by the state store (RocksDB, so the ids
-    need not fit in memory). A batch is written to its own folder, by batch id, in
-    overwrite mode: a batch that is run again after a crash replaces itself.
+    their reason, until the point is sent again (``failed_points``). A point that an
+    earlier batch has labelled is skipped: batches are held against the labelled
+    rows of the output, so the stream keeps no state of its own. A batch is written
+    to its own folder, by batch id, in overwrite mode: a batch that is run again
+    after a crash sees the batches before it and replaces itself.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        enrich(batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+    root = out.rstrip("/")
 
-    return (stream.dropDuplicates([id_]).writeStream.foreachBatch(write)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        todo = batch.dropDuplicates([id_])
+        try:
+            done = batch.sparkSession.read.option("basePath", root).parquet(root)
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            labelled = done.where((F.col("batch_id") < batch_id) & F.col("population").isNotNull())
+            todo = todo.join(labelled.select(id_).distinct(), id_, "left_anti")
+        enrich(todo).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+
+    return (stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
@@ -33,10 +46,12 @@ def enrich_with(client: Callable, schema: str) -> Callable[[DataFrame], DataFram
     return lambda batch: batch.mapInPandas(client, schema)
 
 
-def enriched(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    """The enriched points so far, empty before the first batch."""
+def enriched(spark: SparkSession, out: str, schema: str, id_: str = "id") -> DataFrame:
+    """The newest row of every enriched point so far, empty before the first batch."""
     try:
-        return spark.read.schema(schema).parquet(out).drop("batch_id")
+        rows = spark.read.schema(f"{schema}, batch_id long").parquet(out)
+        newest = rows.groupBy(id_).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (id_, "batch_id")]), "batch_id").alias("_new"))
+        return newest.select(id_, "_new.*") if len(rows.columns) > 2 else newest.select(id_)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -105,6 +105,10 @@ def test_incremental_enrichment(spark, folder):
     points.where("id >= 100").write.mode("append").parquet(f"{folder}/in")
     assert run().count() == 300
     assert E.failed_points(run()).count() == 150
+    labels = points.select("id", F.lit(7.0).alias("population"))  # the service answers again
+    points.where("id < 10").write.mode("append").parquet(f"{folder}/in")
+    last = {r.id: r.population for r in run().collect()}
+    assert len(last) == 300 and last[1] == 7.0 and last[2] == 20.0 and last[11] is None
 
 
 def test_enrichment_by_client(spark):

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pavement.operators import density as D
@@ -120,3 +121,25 @@ def test_copies_collapse_before_the_join(spark):
     merged = S.merge_copies(copies, ["city", "x", "y"], {"n": F.lit(1)})
     assert merged.count() == 1
     assert S.disc_sums(centres, [(copies, "points", ["x", "y"], {"n": F.lit(1)})], 250).collect()[0].n == 5000
+
+
+def test_parts_areas_and_empty_shapes(spark):
+    """Parts add up, POIs may be areas, and features without coordinates meet nothing and stop nothing."""
+    def square(x, y, side):
+        return [(x, y), (x + side, y), (x + side, y + side), (x, y + side)]
+
+    vertices = "array<struct<x:double, y:double>>"
+    centres = spark.createDataFrame([("c", 1, 0.0, 0.0)], "city string, pid long, x double, y double")
+    roads = spark.createDataFrame([("c", [(0.0, 0.0), (30.0, 40.0)]), ("c", []), ("c", None)], f"city string, path {vertices}")
+    buildings = spark.createDataFrame(
+        [("c", "MultiPolygon", None, [[square(0.0, 0.0, 20.0)], [square(100.0, 0.0, 40.0)]]),
+         ("c", "Polygon", [square(0.0, 50.0, 10.0), square(2.0, 52.0, 2.0)], None),
+         ("c", "Polygon", [], None), ("c", "Polygon", None, None), ("c", "Polygon", [[]], None)],
+        f"city string, geom_type string, rings array<{vertices}>, parts array<array<{vertices}>>")
+    pois = spark.createDataFrame([("c", 1.0, 1.0, None), ("c", None, None, [square(200.0, 0.0, 100.0)]), ("c", None, None, None),
+                                  ("c", None, None, [square(900.0, 0.0, 9.0)])],
+                                 f"city string, x double, y double, rings array<{vertices}>")
+    row = D.density_metrics(centres, roads, buildings, pois, r=250).collect()[0]
+    disc = math.pi * 250 ** 2
+    assert row.road_density == pytest.approx(50 / disc) and row.poi_density == 2
+    assert row.building_density == pytest.approx((400 + 1600 + 100 - 4) / disc)
