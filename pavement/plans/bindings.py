@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pavement.session import ship
+
 from pavement.plans.storage import written
 
 BASE = ("region nation customer supplier part orders lineitem events "
@@ -118,7 +120,7 @@ class Bindings:
     """The views over one folder of tables, as DataFrames: ``b.point``, ``b.label`` ..."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = ship(spark)
         self.folder = folder
         self._tables: dict[str, DataFrame] = {}
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +24,30 @@ SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the Python workers of a session, once per application.
+
+    Without it, workers that do not start in the repository, or on another
+    machine, could not import what the operators send them.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="pavement-"), "pavement.zip")
+        with zipfile.ZipFile(path, "w") as packed:
+            for folder, _, names in os.walk(here):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        packed.write(full, os.path.relpath(full, os.path.dirname(here)))
+        context.addPyFile(path)
+        _SHIPPED.add(context.applicationId)
+    return spark
+
+
 def local_session(cores: str = "*", app: str = "pavement") -> SparkSession:
     """A single-JVM session for tests and the bench; clusters bring their own."""
     builder = (
@@ -37,4 +63,4 @@ def local_session(cores: str = "*", app: str = "pavement") -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
