@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pavement.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One of the given tables; the workers get the package first."""
+    return ship(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def fresh(df: DataFrame, stem: str) -> str:
