@@ -48,27 +48,33 @@ def kmeans_by_city(df: DataFrame, columns=DENSITIES, k: int = 5, iters: int = 20
                    id_: str = "pid") -> DataFrame:
     """K-means of the scaled densities, in all cities at once.
 
-    Seeds are the means of the ``k`` quantile bands of the summed densities. Every
-    Lloyd step is one scan of the written points and one small aggregate; the last
-    assignment numbers the clusters by their mean density, so that they compare
-    across cities. A city with fewer than ``k`` points, or without any density,
-    keeps its points with a null cluster.
+    Seeds are the means of ``k`` bands between quantiles of the *distinct* summed
+    densities, so that many equal ones (water, fields) leave no band empty where a
+    city has ``k`` different sums. Every Lloyd step is one scan of the written points
+    and one small aggregate, until no centroid moves; the last assignment numbers
+    the clusters by their mean density, so that they compare across cities. A city
+    with fewer than ``k`` points, or without any density, keeps its points with a
+    null cluster.
     """
     scaled = [f"{c}_scaled" for c in columns]
     rows = minmax_by_city(written(df), list(columns), key)
     score = sum((F.coalesce(c, F.lit(0.0)) for c in scaled[1:]), F.coalesce(scaled[0], F.lit(0.0)))
     usable = F.coalesce(*scaled).isNotNull()
-    all_points = written(rows.withColumns({"_score": score, "_usable": usable}))
+    all_points = rows.withColumns({"_score": score, "_usable": usable})
     sizes = all_points.where("_usable").groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
     points = join_side(all_points.where("_usable"), sizes.select(key), [key], "left_semi").fillna(0.0, subset=scaled)
     points = written(points.select(key, id_, "_score", *scaled))
-    cuts = exact_percentiles(points, "_score", {f"_q{j}": j / k for j in range(1, k)}, (key,))
+    cuts = exact_percentiles(points.select(key, "_score").distinct(), "_score", {f"_q{j}": j / k for j in range(1, k)}, (key,))
     bands = join_side(points, cuts, [key], "inner")
     band = sum(((F.col("_score") > F.col(f"_q{j}")).cast("int") for j in range(2, k)),
                (F.col("_score") > F.col("_q1")).cast("int"))
     centroids = _centroids(bands.withColumn("cluster", band), key, scaled)
     for _ in range(iters - 1):
-        centroids = _centroids(_nearest(points, centroids, key, scaled), key, scaled)
+        moved = _centroids(_nearest(points, centroids, key, scaled), key, scaled)
+        still = moved.exceptAll(centroids).isEmpty()
+        centroids = moved
+        if still:
+            break
     order = F.transform(F.array_sort(F.transform("_centroids", lambda c: F.struct(
         sum((c[s] for s in scaled[1:]), c[scaled[0]]).alias("m"), c["cluster"].alias("cluster")))), lambda c: c["cluster"])
     final = _nearest(points, centroids, key, scaled)
@@ -104,14 +110,17 @@ def score_counts(model, df: DataFrame, features: str = "tabular") -> DataFrame:
     return scored.withColumn("pred", inverse_target(F.col("z_pred"), F.col("log_mean"), F.col("log_std")))
 
 
-def label_probe(df: DataFrame, label: str, features: str = "tabular") -> DataFrame:
-    """How well features tell a label: accuracy and cross-entropy of a multinomial probe."""
-    indexed = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(df).transform(df)
-    data = vectors(indexed, features)
+def label_probe(train: DataFrame, test: DataFrame, label: str, features: str = "tabular") -> DataFrame:
+    """How well features tell a label: accuracy and cross-entropy, on ``test``, of a multinomial probe fitted on ``train``.
+
+    A label that only ``test`` has counts as told wrongly.
+    """
+    indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
+    data = vectors(indexer.transform(train), features)
     model = LogisticRegression(featuresCol="_vector", labelCol="_y", family="multinomial", maxIter=50,
                                regParam=1e-3).fit(data)
-    scored = model.transform(data).withColumn("_p", vector_to_array("probability"))
-    own = F.get("_p", F.col("_y").cast("int"))
+    scored = model.transform(vectors(indexer.transform(test), features)).withColumn("_p", vector_to_array("probability"))
+    own = F.coalesce(F.get("_p", F.col("_y").cast("int")), F.lit(0.0))
     return scored.agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("accuracy"),
                       F.avg(-F.ln(F.greatest(own, F.lit(1e-15)))).alias("cross_entropy"))
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pavement.operators.ranking import draw
 from pavement.plans.storage import written
 
-SILHOUETTE_SAMPLE = 5000
 _BLOCK = 256
 
 
@@ -29,15 +28,18 @@ def _block_distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts)[columns]
 
 
-def label_distances(df: DataFrame, features: str, label: str, id_: str, sample: int = SILHOUETTE_SAMPLE) -> DataFrame:
+def label_distances(df: DataFrame, features: str, label: str, id_: str, sample: int | None = None) -> DataFrame:
     """Per point and label: sum of distances and number of points.
 
-    The sample, which the operator bounds, is cut into blocks and every pair of blocks is one small group, so
+    All points, or a seeded ``sample`` of so many; the work grows with the square
+    of their number. They are cut into blocks and every pair of blocks is one small group, so
     no pair of points is ever a row: a group returns one sum per point and label.
     """
-    points = written(df.select(F.col(id_).alias("_id"), F.col(label).cast("bigint").alias("_label"),
-                        F.col(features).cast("array<double>").alias("_f"))
-                     .orderBy(draw(F.col("_id")), "_id").limit(sample))
+    points = df.select(F.col(id_).alias("_id"), F.col(label).cast("bigint").alias("_label"),
+                       F.col(features).cast("array<double>").alias("_f"))
+    if sample is not None:
+        points = points.orderBy(draw(F.col("_id")), "_id").limit(sample)
+    points = written(points)
     blocks = max(1, -(-points.count() // _BLOCK))
     placed = points.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -49,10 +51,11 @@ def label_distances(df: DataFrame, features: str, label: str, id_: str, sample:
 
 
 def silhouette(df: DataFrame, features: str = "embedding", label: str = "label", id_: str = "vec_id",
-               sample: int = SILHOUETTE_SAMPLE) -> DataFrame:
-    """Euclidean silhouette over a sample: mean per label, and overall (label null).
+               sample: int | None = None) -> DataFrame:
+    """Euclidean silhouette: mean per label, and overall (label null), over all points or a stated sample.
 
-    A point alone in its label scores 0.
+    A point alone in its label scores 0. The work grows with the square of the
+    points; ``silhouette_squared`` is linear.
     """
     sums = label_distances(df, features, label, id_, sample)
     own = F.col("_other") == F.col("_label")
@@ -66,6 +69,40 @@ def silhouette(df: DataFrame, features: str = "embedding", label: str = "label",
         F.col("_label").alias("label"), "silhouette", "n")
 
 
+def silhouette_squared(df: DataFrame, features: str = "embedding", label: str = "label", id_: str = "vec_id") -> DataFrame:
+    """Silhouette of squared Euclidean distances over all points: mean per label, and overall (label null).
+
+    The mean squared distance to a label follows from the label's size, mean and
+    mean squared norm, so a point meets one small table and never another point.
+    Points without a label are left out; one alone in its label scores 0.
+    """
+    points = df.select(F.col(id_).alias("_id"), F.col(label).cast("bigint").alias("_label"),
+                       F.col(features).cast("array<double>").alias("_f")).where("_label IS NOT NULL")
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+    means = (points.select("_label", F.posexplode("_f").alias("_i", "_v")).groupBy("_label", "_i")
+             .agg(F.avg("_v").alias("_m"), F.avg(F.col("_v") * F.col("_v")).alias("_q"), F.count("*").alias("_n")))
+    stats = means.groupBy("_label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda e: e["_m"]).alias("_mean"),
+        F.sum("_q").alias("_norm"), F.max("_n").alias("_n"))
+    # one row per label, with the labels' number as its bound: an array on every point
+    every = stats.agg(F.array_sort(F.collect_list(F.struct("_label", "_mean", "_norm", "_n")))).scalar()
+    own = F.col("_s._label") == F.col("_label")
+    away = dot(F.col("_f"), F.col("_f")) + F.col("_s._norm") - 2 * dot(F.col("_f"), F.col("_s._mean"))
+    met = (points.withColumn("_s", F.explode(every))
+           .select("_id", "_label", own.alias("_own"), F.greatest(away, F.lit(0.0)).alias("_d"), F.col("_s._n").alias("_n")))
+    scored = met.groupBy("_id", "_label").agg(
+        F.max(F.when(F.col("_own"), F.col("_n"))).alias("_k"), F.max(F.when(F.col("_own"), F.col("_d") * F.col("_n"))).alias("_sum"),
+        F.min(F.when(~F.col("_own"), F.col("_d"))).alias("_b"))
+    a = F.col("_sum") / F.nullif(F.col("_k") - 1, F.lit(0))
+    widest = F.nullif(F.greatest(a, F.col("_b")), F.lit(0.0))
+    scores = scored.select("_label", F.coalesce(F.when(F.col("_k") > 1, (F.col("_b") - a) / widest), F.lit(0.0)).alias("_s"))
+    return scores.rollup("_label").agg(F.avg("_s").alias("silhouette"), F.count("*").alias("n")).select(
+        F.col("_label").alias("label"), "silhouette", "n")
+
+
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index of two labelings from their contingency table."""
     table = df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").cast("double").alias("_n"))

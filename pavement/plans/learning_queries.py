@@ -35,7 +35,7 @@ def _kmeans_ctes() -> dict[str, str]:
         "scaled": f"SELECT city, pid, {scale}, count(*) OVER w AS n, "
                   f"sum(road_density + building_density + poi_density) OVER w AS mass FROM density WINDOW w AS (PARTITION BY city)",
         "pts": f"SELECT *, {' + '.join(_SCALED)} AS score FROM scaled WHERE n >= {K} AND mass > 0",  # a city without any density is not clustered
-        "cuts": f"SELECT city, {cuts} FROM pts GROUP BY city",
+        "cuts": f"SELECT city, {cuts} FROM (SELECT DISTINCT city, score FROM pts) GROUP BY city",
         "c1": f"SELECT city, cluster, {means} FROM (SELECT p.*, {band} AS cluster FROM pts p JOIN cuts USING (city)) GROUP BY city, cluster",
     }
     away = " + ".join(f"(p.{c} - c.{c}) * (p.{c} - c.{c})" for c in _SCALED)
@@ -87,7 +87,9 @@ def _regressor(b):
 @query("label_probe")
 def _probe(b):
     table = training_table(b)
-    return S.union_chunks([L.label_probe(table, c).withColumn("label", F.lit(c)) for c in ("country", "cluster")])
+    train = S.split_rows(table, "train")
+    test = table.where("split <> 'train'")
+    return S.union_chunks([L.label_probe(train, test, c).withColumn("label", F.lit(c)) for c in ("country", "cluster")])
 
 
 def mean_feature():
