@@ -116,18 +116,30 @@ _UNIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n", pa.int32())
 
 
 def _cut(texts: pa.Array) -> pa.Array:
-    rows = []
+    """Per document its pieces: span, words, key and bands. Built as flat columns, not as objects."""
+    sizes, start, end, count, key, bands, has = [0], [], [], [], [], [], []
     for t in texts:
         spans, firsts, words = pieces(t.as_py())
-        if not spans:
-            rows.append([])
-            continue
-        codes = _hashed(words)
-        keys, bands = _keys(codes, firsts).tolist(), banded(piece_sets(firsts, codes)).tolist()
-        # a piece of few words has too few shingles to be like another without being equal
-        rows.append([{"start": a, "end": b, "n": firsts[i + 1] - firsts[i], "key": keys[i],
-                      "bands": bands[i] if firsts[i + 1] - firsts[i] >= LEAST_PIECE else None} for i, (a, b) in enumerate(spans)])
-    return pa.array(rows, pa.list_(_UNIT))
+        sizes.append(len(spans))
+        if spans:
+            codes, at, n = _hashed(words), np.array(spans, np.int32), np.diff(firsts).astype(np.int32)
+            start.append(at[:, 0])
+            end.append(at[:, 1])
+            count.append(n)
+            key.append(_keys(codes, firsts))
+            # a piece of few words has too few shingles to be like another without being equal
+            long_ = n >= LEAST_PIECE
+            bands.append(banded(piece_sets(firsts, codes))[long_].ravel())
+            has.append(long_)
+
+    def flat(parts: list[np.ndarray], kind) -> np.ndarray:
+        return np.concatenate(parts) if parts else np.empty(0, kind)
+
+    marked = flat(has, bool)
+    lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(marked * BANDS))).astype(np.int32), flat(bands, np.int64))
+    columns = [pa.array(flat(start, np.int32)), pa.array(flat(end, np.int32)), pa.array(flat(count, np.int32)),
+               pa.array(flat(key, np.int64)), lists]
+    return pa.ListArray.from_arrays(np.cumsum(sizes).astype(np.int32), pa.StructArray.from_arrays(columns, fields=list(_UNIT)))
 
 
 def _sets(texts: pa.Array) -> pa.Array:
@@ -205,7 +217,7 @@ def repeated_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text")
     units = cut.select("row", "_id", "body", F.posexplode("u").alias("seq", "p")).select(
         "row", "_id", "body", "seq", F.col("p.key").alias("key"), F.col("p.bands").alias("bands"))
     # buckets with two different pieces in them; copies fold before the shuffle
-    hits = units.where("bands IS NOT NULL").select("key", F.explode("bands").alias("node"))
+    hits = units.select("key", F.explode("bands").alias("node"))
     buckets = written(hits.groupBy("node").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("node"))
     nodes = written(hits.join(_few(buckets), "node").distinct().select("node", F.col("key").alias("class")))
     labels = None
