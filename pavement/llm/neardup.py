@@ -10,8 +10,8 @@ still large at the last level is compared exhaustively too.
 
 Only components are asked for, which keeps large groups of copies linear: the
 classes of a node are first compared with the smallest of the node, and after
-that only those not linked to it are compared with the others. A node whose
-classes are all known to be in one component is done, whatever its size. Candidates must look similar on their
+that only classes of different components are. A node whose classes are all in
+one component is done, whatever its size. Candidates must look similar on their
 signatures (four standard deviations of slack), and every link is confirmed on
 the full sets.
 """
@@ -36,9 +36,10 @@ from pavement.plans.storage import written
 COORDINATES = 64
 TREES = 8
 SMALL = 16
-#: A large node gets so many branches, each of so many coordinates at a time: a pair at 0.8 stays
-#: together in one of them with a chance of 0.91 (in each tree), a pair at 0.5 with one of 0.12.
-BRANCHES, STEPS = 8, 6
+#: A large node gets so many branches; each reads as many coordinates at a time as leave a pair at the
+#: threshold together with a chance of 0.4. So a pair stays together in some branch with a chance of
+#: about 0.78 in each tree, while nodes of less similar classes shrink faster than they multiply.
+BRANCHES, TOGETHER = 3, 0.4
 DEPTH = 5
 #: Rows of a side that may be broadcast: 16-byte keys, so about 100 MB. Beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
@@ -115,6 +116,7 @@ class Joiner:
         self.classes, self.sets, self.percent = classes, sets, percent
         t = percent / 100
         self.least = math.floor(COORDINATES * max(0.0, t - 4 * math.sqrt(t * (1 - t) / COORDINATES)))
+        self.steps = max(1, round(math.log(TOGETHER) / math.log(min(t, 0.99))))
         self.links: list[DataFrame] = []
 
     def confirm(self, pairs: DataFrame) -> DataFrame | None:
@@ -143,21 +145,22 @@ class Joiner:
     def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
         """Compare within the nodes (node, class, comp); the rows of large nodes that stay open, if any.
 
-        Classes of equal ``comp`` are known to be in one component. Members linked
-        to the smallest of their node take its ``comp``.
+        Classes of equal ``comp`` are known to be in one component. The links that
+        the smallest of each node brings are merged before anything else is compared.
         """
         heads = (nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("class", "comp")).alias("pivot"),
                                            F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi"))
         rows = written(nodes.join(heads, "node").select("node", "class", "comp", "n", F.col("pivot.class").alias("pivot"),
                                                         F.col("pivot.comp").alias("home")))
-        linked = self.confirm(rows.where("comp <> home").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
-        if linked is not None:
-            rows = (rows.join(linked.select(F.col("a").alias("pivot"), F.col("b").alias("class"), F.lit(True).alias("yes")),
-                              ["pivot", "class"], "left")
-                    .withColumn("comp", F.when(F.col("yes"), F.col("home")).otherwise(F.col("comp"))).drop("yes"))
-        # open is a node with members that are not known to be in the component of its smallest
-        away = rows.where("comp <> home").select("node").distinct()
-        rows = written(rows.join(away, "node", "left_semi").select("node", "class", "comp", "n", "home"))
+        self.confirm(rows.where("comp <> home").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
+        rows = rows.drop("home", "pivot")
+        if self.links:
+            labels = components(reduce(DataFrame.union, self.links))
+            rows = (rows.join(labels.select(F.col("id").alias("class"), "label"), "class", "left")
+                    .withColumn("comp", F.coalesce("label", "comp")).drop("label"))
+        # open is a node with members of more than one component
+        away = (rows.groupBy("node").agg(F.min("comp").alias("home"), F.max("comp").alias("hi")).where("home <> hi").drop("hi"))
+        rows = written(rows.join(away, "node").select("node", "class", "comp", "n", "home"))
         small = rows if last else rows.where(F.col("n") <= SMALL)
         apart = small.where("comp <> home").select("node", F.col("class").alias("a"), F.col("comp").alias("other"))
         pair = [F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")]
@@ -186,21 +189,22 @@ class Joiner:
             # each node chooses its own coordinates for its branches
             pick = lambda i: F.pmod(F.xxhash64("node", F.lit(at), F.lit(i)), F.lit(COORDINATES)).cast("int")  # noqa: B023,E731
             value = lambda i: F.col("sig").substr(pick(i) * 4 + 1, F.lit(4))
-            branches = [F.xxhash64("node", F.lit(b), *[value(b * STEPS + i) for i in range(STEPS)]) for b in range(BRANCHES)]
+            branches = [F.xxhash64("node", F.lit(b), *[value(b * self.steps + i) for i in range(self.steps)]) for b in range(BRANCHES)]
             nodes = rest.join(self.classes, "class").select("class", "comp", F.explode(F.array(*branches)).alias("node"))
         return components(reduce(DataFrame.union, self.links)) if self.links else None
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "doc_id", text: str = "text",
                     trees: int = TREES) -> DataFrame:
-    """One row per row of ``docs``: id, text_md5, n_shingles, component_id and kept.
+    """One row per row of ``docs``: id, text_md5, n_shingles, component_id, kept and component_key.
 
     Documents are linked when 100 * intersection >= percent * union of their sets
     of k-word shingles. ``component_id`` is the smallest id that can be reached.
     Null, empty and blank texts have no shingles and are linked with nothing. A
     null id takes part but is no component's smallest id unless all are null, and
     then the component has no id; ``kept`` compares the id with the component's,
-    nulls as equal. Repeated rows are kept or not alike. Only the two columns are
+    nulls as equal. ``component_key`` tells components apart even where ids repeat
+    (null without shingles). Repeated rows are kept or not alike. Only the two columns are
     read. Builds its tables while the plan is built.
     """
     body = F.col(f"`{text}`")
@@ -219,16 +223,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "
 
     labels = Joiner(classes.select("class", "sig"), sets, percent).run(trees)
     if labels is None:
-        named = classes.select("class", F.col("low").alias("_low"))
+        named = classes.select("class", F.col("low").alias("_low"), F.col("class").alias("_key"))
     else:
         joined = classes.select("class", "low").join(labels.select(F.col("id").alias("class"), "label"), "class", "left")
         lows = joined.where("label IS NOT NULL").groupBy("label").agg(F.min("low").alias("_all"))
         named = (joined.join(lows, "label", "left")
-                 .select("class", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("_all")).alias("_low")))
+                 .select("class", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("_all")).alias("_low"),
+                         F.coalesce("label", "class").alias("_key")))
     component = F.when(F.col("class").isNull(), F.col("_id")).otherwise(F.col("_low"))
     return (signed.drop("sig").join(named, "class", "left")
             .select(F.col("_id").alias(id_), F.col("_md5").alias("text_md5"), F.col("n").alias("n_shingles"),
-                    component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept")))
+                    component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"),
+                    F.col("_key").alias("component_key")))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,9 +246,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "doc_
     Documents without words are no one's duplicates, unless id and text repeat.
     """
     found = near_duplicates(docs, k, percent, id_, text)
-    # without an id there is nothing to name the group by; such rows are told apart by their text alone
-    group = F.struct((F.col("n_shingles") > 0).alias("w"), "component_id",
-                     F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.coalesce("text_md5", F.lit(""))).alias("m"))
+    # a document without shingles is told apart by its id and text alone
+    alone = F.when(F.col("n_shingles") == 0, F.struct(F.col(id_), F.coalesce("text_md5", F.lit(""))))
+    group = F.struct(F.col("component_key").alias("k"), alone.alias("m"))
     rows = written(found.select(group.alias("g"), F.col(id_).alias("_id"), F.coalesce("text_md5", F.lit("")).alias("_md5")))
     best = rows.groupBy("g").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_md5")).alias("_best"))
     judged = (rows.groupBy("g", "_id", "_md5").agg(F.count("*").alias("times")).join(best, "g")
