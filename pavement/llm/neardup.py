@@ -2,18 +2,20 @@
 
 Equal shingle sets are one class, found by an aggregate over their digest. Each
 class has ``COORDINATES`` min-hashes. A tree sends a class down the paths that
-its min-hashes at chosen coordinates spell: at the root about 1 / similarity
-coordinates are chosen, so that a similar pair shares a path with near
-certainty over ``TREES`` independent trees. A node that is small is compared
-exhaustively; a large one is branched again by more chosen coordinates. What is
-still large at the last level is compared exhaustively too.
+its min-hashes at chosen coordinates spell: at the roots of ``TREES`` trees about
+1 / similarity coordinates each are chosen, all of them distinct. A node that is
+small is compared exhaustively; a large one is branched again by more chosen
+coordinates. What is still large at the last level is compared exhaustively too.
+The branches are so many that a pair at the threshold meets with a chance of
+``RECALL`` even if its nodes stay large at every level.
 
 Only components are asked for, which keeps large groups of copies linear: the
 classes of a node are first compared with the smallest of the node, and after
 that only classes of different components are. A node whose classes are all in
-one component is done, whatever its size. Candidates must look similar on their
-signatures (four standard deviations of slack), and every link is confirmed on
-the full sets.
+one component is done, whatever its size. Candidates must look similar on one bit
+of each min-hash, which travels with the node's rows (five standard deviations of
+slack), then on their signatures (four), and every link is confirmed on the full
+sets.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pavement.llm.columns import arrow_struct, gram_hashes
@@ -36,11 +38,12 @@ from pavement.plans.storage import written
 COORDINATES = 64
 TREES = 8
 SMALL = 16
-#: A large node gets so many branches; each reads as many coordinates at a time as leave a pair at the
-#: threshold together with a chance of 0.4. So a pair stays together in some branch with a chance of
-#: about 0.78 in each tree, while nodes of less similar classes shrink faster than they multiply.
-BRANCHES, TOGETHER = 3, 0.4
-DEPTH = 5
+#: Each branch of a large node reads as many coordinates at a time as leave a pair at the threshold
+#: together with a chance of 0.4; nodes are branched DEPTH - 1 times at most.
+TOGETHER = 0.4
+DEPTH = 3
+#: Chance that a pair at the threshold meets, whatever the sizes of its nodes, over all levels.
+RECALL = 0.99
 #: Rows of a side that may be broadcast: 16-byte keys, so about 100 MB. Beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -108,6 +111,59 @@ def keep_known(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
 
 
+def steps_for(percent: int) -> int:
+    """Coordinates that a branch reads."""
+    return max(1, round(math.log(TOGETHER) / math.log(min(percent / 100, 0.99))))
+
+
+def recall(percent: int, branches: int, apart: Callable[[int, float], float], depth: int = DEPTH) -> float:
+    """Chance that a pair at the threshold meets if all its nodes but the last are large.
+
+    Its signatures are fixed: all levels read the same agreeing coordinates, so
+    the chance is taken for each number of these and weighed. ``apart(agreeing,
+    s)`` is the chance that no root brings the pair together if one that they
+    share does with chance ``s``. A branch reads coordinates of its own node's
+    choice, so that branches are independent for a given number.
+    """
+    t, steps, total = percent / 100, steps_for(percent), 0.0
+    for agreeing in range(COORDINATES + 1):
+        s = 1.0
+        for _ in range(depth - 1):
+            s = 1 - (1 - (agreeing / COORDINATES) ** steps * s) ** branches
+        weight = math.comb(COORDINATES, agreeing) * t ** agreeing * (1 - t) ** (COORDINATES - agreeing)
+        total += weight * (1 - apart(agreeing, s))
+    return total
+
+
+def apart_over(roots: int) -> Callable[[int, float], float]:
+    """``apart`` of so many distinct root coordinates."""
+    def apart(agreeing: int, s: float) -> float:
+        return sum(math.comb(agreeing, h) * math.comb(COORDINATES - agreeing, roots - h) * (1 - s) ** h
+                   for h in range(roots + 1)) / math.comb(COORDINATES, roots)
+
+    return apart
+
+
+def branches_for(percent: int, apart: Callable[[int, float], float], most: int = 64, depth: int = DEPTH) -> int | None:
+    """The fewest branches that reach ``RECALL``; None if not even ``most`` do."""
+    return next((b for b in range(1, most + 1) if recall(percent, b, apart, depth) >= RECALL), None)
+
+
+def roots_and_branches(percent: int, trees: int = TREES, depth: int = DEPTH) -> tuple[int, int]:
+    """Root coordinates of so many trees, more if these cannot reach ``RECALL``, and the branches of large nodes."""
+    for roots in range(min(COORDINATES, math.ceil(100 * trees / percent)), COORDINATES + 1):
+        branches = branches_for(percent, apart_over(roots), depth=depth)
+        if branches:
+            return roots, branches
+    raise ValueError(f"{COORDINATES} coordinates are too few for a threshold of {percent} %")
+
+
+def _bits(sigs: pa.Array) -> pa.Array:
+    """The lowest bit of each coordinate."""
+    flat = np.frombuffer(b"".join(s.as_py() for s in sigs), "<u4").reshape(len(sigs), COORDINATES)
+    return pa.array(np.packbits((flat & 1).astype(np.uint8), axis=1).view("<i8")[:, 0], pa.int64())
+
+
 class Joiner:
     """The links among classes, found level by level; holds the links confirmed so far."""
 
@@ -116,7 +172,9 @@ class Joiner:
         self.classes, self.sets, self.percent = classes, sets, percent
         t = percent / 100
         self.least = math.floor(COORDINATES * max(0.0, t - 4 * math.sqrt(t * (1 - t) / COORDINATES)))
-        self.steps = max(1, round(math.log(TOGETHER) / math.log(min(t, 0.99))))
+        self.steps = steps_for(percent)
+        same = (1 + t) / 2  # of the bits of a pair at the threshold
+        self.differ = math.ceil(COORDINATES * (1 - same) + 5 * math.sqrt(COORDINATES * same * (1 - same)))
         self.links: list[DataFrame] = []
 
     def confirm(self, pairs: DataFrame) -> DataFrame | None:
@@ -142,46 +200,51 @@ class Joiner:
         self.links.append(links)
         return links
 
+    def near(self, a: str, b: str) -> Column:
+        """Whether the bits of two classes differ no more than those of a similar pair."""
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= self.differ
+
     def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
-        """Compare within the nodes (node, class, comp); the rows of large nodes that stay open, if any.
+        """Compare within the nodes (node, class, comp, bits); the rows of large nodes that stay open, if any.
 
         Classes of equal ``comp`` are known to be in one component. The links that
         the smallest of each node brings are merged before anything else is compared.
         """
-        heads = (nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("class", "comp")).alias("pivot"),
+        heads = (nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("class", "comp", "bits")).alias("pivot"),
                                            F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi"))
-        rows = written(nodes.join(heads, "node").select("node", "class", "comp", "n", F.col("pivot.class").alias("pivot"),
-                                                        F.col("pivot.comp").alias("home")))
-        self.confirm(rows.where("comp <> home").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
-        rows = rows.drop("home", "pivot")
+        rows = written(nodes.join(heads, "node").select("node", "class", "comp", "bits", "n", "pivot"))
+        self.confirm(rows.where((F.col("comp") != F.col("pivot.comp")) & self.near("bits", "pivot.bits"))
+                     .select(F.col("pivot.class").alias("a"), F.col("class").alias("b")))
+        rows = rows.drop("pivot")
         if self.links:
             labels = components(reduce(DataFrame.union, self.links))
             rows = (rows.join(labels.select(F.col("id").alias("class"), "label"), "class", "left")
                     .withColumn("comp", F.coalesce("label", "comp")).drop("label"))
         # open is a node with members of more than one component
         away = (rows.groupBy("node").agg(F.min("comp").alias("home"), F.max("comp").alias("hi")).where("home <> hi").drop("hi"))
-        rows = written(rows.join(away, "node").select("node", "class", "comp", "n", "home"))
+        rows = written(rows.join(away, "node").select("node", "class", "comp", "bits", "n", "home"))
         small = rows if last else rows.where(F.col("n") <= SMALL)
-        apart = small.where("comp <> home").select("node", F.col("class").alias("a"), F.col("comp").alias("other"))
+        apart = small.where("comp <> home").select("node", F.col("class").alias("a"), F.col("comp").alias("other"), F.col("bits").alias("others"))
         pair = [F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")]
-        self.confirm(apart.join(small, "node").where("comp <> other").select(*pair))
+        self.confirm(apart.join(small, "node").where((F.col("comp") != F.col("other")) & self.near("bits", "others")).select(*pair))
         if last:
             return None
-        rest = rows.where(F.col("n") > SMALL).select("node", "class", "comp")
+        rest = rows.where(F.col("n") > SMALL).select("node", "class", "comp", "bits")
         return None if rest.isEmpty() else rest
 
     def run(self, trees: int = TREES, depth: int = DEPTH) -> DataFrame | None:
         """(id, label) of the linked classes, or None without any link."""
-        draw, value = random.Random(31), lambda c: F.substring("sig", 4 * c + 1, 4)
-        paths = []
-        for tree in range(trees):
-            chosen = [c for c in range(COORDINATES) if draw.random() < 100 / self.percent / COORDINATES]
-            paths += [F.xxhash64(F.lit(tree), F.lit(c), value(c)) for c in chosen or [draw.randrange(COORDINATES)]]
-        return self.grow(self.classes.select("class", F.explode(F.array(*paths)).alias("node")), depth)
-
-    def grow(self, nodes: DataFrame, depth: int = DEPTH) -> DataFrame | None:
+        roots, branches = roots_and_branches(self.percent, trees, depth)
+        paths = [F.xxhash64(F.lit(c), F.substring("sig", 4 * c + 1, 4))
+                 for c in sorted(random.Random(31).sample(range(COORDINATES), roots))]
+        return self.grow(self.classes.select("class", F.explode(F.array(*paths)).alias("node")), branches, depth)
+
+    def grow(self, nodes: DataFrame, branches: int, depth: int = DEPTH) -> DataFrame | None:
         """Compare within the nodes (node, class) and branch the large ones; (id, label) of the linked classes."""
-        nodes = nodes.withColumn("comp", F.col("class"))
+        # a node of one class has nothing to compare, and its class needs no bits
+        met = nodes.groupBy("node").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("node")
+        bits = self.classes.select("class", F.arrow_udf(_bits, "long")("sig").alias("bits"))
+        nodes = nodes.join(met, "node").join(bits, "class").withColumn("comp", F.col("class"))
         for at in range(depth):
             rest = self.level(nodes, at == depth - 1)
             if rest is None:
@@ -189,8 +252,8 @@ class Joiner:
             # each node chooses its own coordinates for its branches
             pick = lambda i: F.pmod(F.xxhash64("node", F.lit(at), F.lit(i)), F.lit(COORDINATES)).cast("int")  # noqa: B023,E731
             value = lambda i: F.col("sig").substr(pick(i) * 4 + 1, F.lit(4))
-            branches = [F.xxhash64("node", F.lit(b), *[value(b * self.steps + i) for i in range(self.steps)]) for b in range(BRANCHES)]
-            nodes = rest.join(self.classes, "class").select("class", "comp", F.explode(F.array(*branches)).alias("node"))
+            paths = [F.xxhash64("node", F.lit(b), *[value(b * self.steps + i) for i in range(self.steps)]) for b in range(branches)]
+            nodes = rest.join(self.classes, "class").select("class", "comp", "bits", F.explode(F.array(*paths)).alias("node"))
         return components(reduce(DataFrame.union, self.links)) if self.links else None
 
 

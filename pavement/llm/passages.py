@@ -229,7 +229,7 @@ def repeated_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text")
                 .select(F.explode(F.arrow_udf(_sets, "array<struct<key:long,set:binary>>")("_text")).alias("p"))
                 .select("p.key", "p.set").join(_few(wanted), "key").dropDuplicates(["key"]))
         sets = written(made.select(F.col("key").alias("class"), "set", F.arrow_udf(_signatures, "binary")("set").alias("sig")))
-        labels = Joiner(sets.select("class", "sig"), lambda needed: sets.join(needed, "class").select("class", "set"), PERCENT).grow(nodes)
+        labels = Joiner(sets.select("class", "sig"), lambda needed: sets.join(needed, "class").select("class", "set"), PERCENT).grow(nodes, 3)
     exact = units.select("row", "seq", "key").distinct().groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     if labels is None:
         comps = exact.select("key", F.col("key").alias("comp"))

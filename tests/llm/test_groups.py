@@ -87,6 +87,39 @@ def test_large_open_nodes(spark):
     assert got == plain_components(rows, 3, 85)
 
 
+def family(draw, pairs, stock, own, common):
+    """Sets of hashes that share ``stock``; each has ``own`` more, of which its partner has ``common``."""
+    some = lambda n: [draw.getrandbits(64) for _ in range(n)]
+    base, rows = some(stock), []
+    for i in range(pairs):
+        both = some(common)
+        rows += [(2 * i + j, sorted(base + both + some(own - common))) for j in range(2)]
+    return rows
+
+
+def joined(spark, rows, percent):
+    import numpy as np
+
+    rows = [(i.to_bytes(4, "big"), np.array(h, np.uint64)) for i, h in rows]
+    df = spark.createDataFrame([(c, neardup.signature(h), h.tobytes()) for c, h in rows], "class binary, sig binary, set binary")
+    return neardup.Joiner(df.select("class", "sig"), lambda need: df.join(need, "class").select("class", "set"), percent)
+
+
+def found_pairs(labels):
+    label = {int.from_bytes(r.id, "big"): r.label for r in labels.collect()}
+    return sum(i % 2 == 0 and label.get(i + 1) == at for i, at in label.items())
+
+
+def test_recall_in_large_families(spark):
+    """Pairs just at the threshold among hundreds of sets that are half alike: the stated recall holds over all levels."""
+    draw = random.Random(12)
+    join = joined(spark, family(draw, 400, 60, 30, 20), 80)  # 80 of 100, others 60 of 120
+    assert found_pairs(join.run()) >= 390
+    roots, branches = neardup.roots_and_branches(80)
+    assert roots >= 10 and neardup.recall(80, branches, neardup.apart_over(roots)) >= neardup.RECALL
+    assert neardup.recall(80, branches - 1, neardup.apart_over(roots)) < neardup.RECALL
+
+
 def test_repeated_rows_and_nulls(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "x y z u v w"), (None, "x y z u v w"),
             (5, None), (5, None), (6, ""), (7, "A b c d e f"), (8, "q r s t u v"), (8, "other text of the same id")]
