@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pavement.llm.columns import arrow_struct, gram_hashes
 from pavement.llm.decontaminate import cut_spans
-from pavement.llm.neardup import BROADCAST_ROWS, Joiner, signature
+from pavement.llm.neardup import BROADCAST_ROWS, Joiner, branches_for, signature
 from pavement.plans.storage import written
 
 SHINGLE = 5
@@ -44,6 +44,8 @@ def bands_for(percent: int, rows: int = ROWS, recall: float = RECALL) -> int:
 
 
 BANDS = bands_for(PERCENT)
+#: Branches of large buckets, for the same recall of bands and branchings together.
+BRANCHES = branches_for(PERCENT, lambda _, s: (1 - (PERCENT / 100) ** ROWS * s) ** BANDS)
 _A = _DRAW.integers(1, 2 ** 62, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _DRAW.integers(0, 2 ** 63, ROWS * BANDS, dtype=np.uint64)
 
@@ -229,7 +231,7 @@ def repeated_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text")
                 .select(F.explode(F.arrow_udf(_sets, "array<struct<key:long,set:binary>>")("_text")).alias("p"))
                 .select("p.key", "p.set").join(_few(wanted), "key").dropDuplicates(["key"]))
         sets = written(made.select(F.col("key").alias("class"), "set", F.arrow_udf(_signatures, "binary")("set").alias("sig")))
-        labels = Joiner(sets.select("class", "sig"), lambda needed: sets.join(needed, "class").select("class", "set"), PERCENT).grow(nodes, 3)
+        labels = Joiner(sets.select("class", "sig"), lambda needed: sets.join(needed, "class").select("class", "set"), PERCENT).grow(nodes, BRANCHES)
     exact = units.select("row", "seq", "key").distinct().groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     if labels is None:
         comps = exact.select("key", F.col("key").alias("comp"))

@@ -120,6 +120,16 @@ def test_recall_in_large_families(spark):
     assert neardup.recall(80, branches - 1, neardup.apart_over(roots)) < neardup.RECALL
 
 
+def test_recall_in_large_buckets(spark):
+    """The same in a single bucket, as op1 has them; bands and branchings together keep 0.99."""
+    draw = random.Random(13)
+    rows = family(draw, 300, 60, 30, 20)
+    nodes = spark.createDataFrame([(1, i.to_bytes(4, "big")) for i, _ in rows], "node long, class binary")
+    assert found_pairs(joined(spark, rows, 80).grow(nodes, passages.BRANCHES)) >= 280
+    t = 0.8 ** 2
+    assert neardup.recall(80, passages.BRANCHES, lambda _, s: (1 - t * s) ** passages.BANDS) >= passages.RECALL
+
+
 def test_repeated_rows_and_nulls(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "x y z u v w"), (None, "x y z u v w"),
             (5, None), (5, None), (6, ""), (7, "A b c d e f"), (8, "q r s t u v"), (8, "other text of the same id")]
