@@ -9,10 +9,14 @@ other; every link is confirmed by exact Jaccard similarity. A component with
 two or more occurrences is a repeat; all but its first occurrence are removed
 where a run of repeated pieces has at least ``LEAST_RUN`` words, so that stock
 phrases in clean documents stay.
+
+Passages that do not line up with pieces are found by their words: what lies in
+an equal run of ``windows.WIDTH`` words with an earlier occurrence is removed too.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from pavement.llm.columns import arrow_struct, gram_hashes
 from pavement.llm.decontaminate import cut_spans
 from pavement.llm.neardup import BROADCAST_ROWS, Joiner, branches_for, signature
+from pavement.llm.windows import repeated_windows
 from pavement.plans.storage import written
 
 SHINGLE = 5
@@ -158,10 +163,10 @@ def _signatures(sets: pa.Array) -> pa.Array:
     return pa.array([signature(np.frombuffer(s.as_py(), np.uint64)) for s in sets], pa.binary())
 
 
-def _runs(units: pa.Array, marks: pa.Array) -> pa.Array:
+def _runs(units: pa.Array, marks: pa.Array, windows: pa.Array, ids: pa.Array) -> pa.Array:
     """Per document: its figures and the removed spans."""
     rows = []
-    for u, m in zip(units, marks):
+    for u, m, w, i_ in zip(units, marks, windows, ids):
         u, mark = u.as_py() or [], {x["seq"]: x for x in m.as_py() or []}
         repeated, removed, sources, at = 0, [], set(), 0
         while at < len(u):
@@ -176,14 +181,19 @@ def _runs(units: pa.Array, marks: pa.Array) -> pa.Array:
                     if not mark[i]["first"]:
                         removed.append(i)
             at = max(end, at + 1)
-        spans, last = [], -2
-        for i in removed:
-            if i == last + 1:
-                spans[-1]["end"] = u[i]["end"]
+        sources |= {x for x in i_.as_py() or [] if x is not None}
+        words = [0, *itertools.accumulate(x["n"] for x in u)]
+        parts = [(words[i], words[i + 1], u[i]["start"], u[i]["end"]) for i in removed]
+        parts += [(x["begin"], x["stop"], x["start"], x["end"]) for x in w.as_py() or []]
+        spans, count, last = [], 0, -1
+        for begin, stop, start, end in sorted(parts):
+            if begin <= last:
+                spans[-1]["end"] = max(spans[-1]["end"], end)
             else:
-                spans.append({"start": u[i]["start"], "end": u[i]["end"]})
-            last = i
-        rows.append((len(u), repeated, len(removed), sum(u[i]["n"] for i in removed),
+                spans.append({"start": start, "end": end})
+            count += max(0, stop - max(begin, last))
+            last = max(last, stop)
+        rows.append((len(u), repeated, len(removed), count,
                      sum(s["end"] - s["start"] for s in spans), sorted(sources), spans))
     fields = [("n_pieces", pa.int64()), ("n_repeated", pa.int64()), ("n_removed", pa.int64()), ("removed_words", pa.int64()),
               ("removed_chars", pa.int64()), ("first_ids", pa.list_(pa.int64())),
@@ -204,7 +214,8 @@ def repeated_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text")
     """One row per row of ``docs``: id, row_hash, figures, ``first_ids`` and the removed spans (code points).
 
     ``n_repeated`` counts the pieces in runs of repeats, first occurrences
-    included; ``n_removed`` those cut; ``first_ids`` are the (integer) ids of the
+    included; ``n_removed`` those cut as repeats; ``removed_words`` and the spans
+    hold these and the words of repeated windows; ``first_ids`` are the (integer) ids of the
     documents in which the repeats of this one occur first. Occurrences are
     ordered by id, then text digest, then place; rows of null id come first and
     give no first id. Fully repeated rows count as one document: what repeats
@@ -247,13 +258,15 @@ def repeated_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text")
                                      ((F.col("row") == F.col("f.row")) & (F.col("seq") == F.col("f.seq"))).alias("first")).alias("m"))
              .groupBy("row").agg(F.collect_list("m").alias("marks")))
     narrow = cut.select("row", "_id", F.expr("transform(u, x -> struct(x.start AS start, x.end AS end, x.n AS n))").alias("u"))
-    return (narrow.join(written(marks), "row", "left").withColumn("r", F.arrow_udf(_runs, RUNS)("u", "marks"))
+    wide = repeated_windows(docs.select(row.alias("row"), ids.alias("_id"), F.xxhash64(body).alias("body"), body.alias("_text")))
+    return (narrow.join(written(marks), "row", "left").join(_few(wide), "row", "left")
+            .withColumn("r", F.arrow_udf(_runs, RUNS)("u", "marks", "windows", "window_ids"))
             .select(F.col("_id").alias(id_), F.col("row").alias("row_hash"), "r.*"))
 
 
 def without_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed spans cut out of the texts; columns and rows stay."""
-    found = written(repeated_passages(docs, id_, text).where("n_removed > 0")
+    found = written(repeated_passages(docs, id_, text).where("size(spans) > 0")
                     .select(F.col("row_hash").alias("_row_hash"), F.col("spans").alias("_cut_spans")).dropDuplicates(["_row_hash"]))
     key = F.xxhash64(F.col(f"`{id_}`").cast("long"), F.col(f"`{text}`"))
 

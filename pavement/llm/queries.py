@@ -32,7 +32,7 @@ def _flat(found: tuple[DataFrame, str], *keys: str) -> DataFrame:
 def op1_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document that repeat elsewhere, and the spans to remove."""
     return (passages.repeated_passages(table(spark, folder, "documents")).drop("row_hash")
-            .withColumn("repeated", F.col("n_repeated") > 0))
+            .withColumn("repeated", (F.col("n_repeated") > 0) | (F.col("removed_words") > 0)))
 
 
 @query

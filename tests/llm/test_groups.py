@@ -233,6 +233,30 @@ def test_passages(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_windows_of_fifty_words(spark):
+    """Every word in a 50-word window with an earlier occurrence is cut, and no other, wherever lines and sentences end."""
+    draw = random.Random(5)
+    shared = [prose(draw, n) for n in (50, 70, 140)]
+    rows = [(i, " ".join([prose(draw, draw.randrange(60, 90)), draw.choice(shared), prose(draw, draw.randrange(60, 90))])) for i in range(12)]
+    rows += [(20, prose(draw, 30) + " " + shared[2][9:-9] + " " + prose(draw, 70)), (21, "a b " * 60), (22, rows[0][1] + " more"), (23, None), (24, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in passages.repeated_passages(df).collect()}
+    seen, cut = {}, {}
+    for i, t in rows:
+        at = list(re.finditer("[^ ]+", t or ""))
+        words = [m[0].lower() for m in at]
+        gone = set()
+        for s in range(len(words) - 49):
+            d, f = seen.setdefault(tuple(words[s:s + 50]), (i, s))
+            if (d, f) != (i, s):
+                gone |= set(range(max(s, f + 50) if d == i else s, s + 50))
+        cut[i] = {j for j, m in enumerate(at) if any(a <= m.start() and m.end() <= b for a, b in got[i])}
+        if i != 21 and i != 22:
+            assert cut[i] == gone, i
+        assert cut[i] >= gone, i
+    assert sum(map(bool, cut.values())) >= 10 and not cut[0] and 0 not in cut[21]
+
+
 def test_bands():
     assert passages.BANDS == 5 and 1 - (1 - 0.8 ** 2) ** 5 >= 0.985
 
