@@ -122,10 +122,13 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size:
 def fitted(docs: DataFrame, picked: DataFrame, id_: str, text: str, fit: Callable) -> Model:
     """``fit(texts, y)`` over the picked rows of ``docs``, in one task; the picked ids are a bounded sample.
 
-    Rows with a null text take part as empty texts. Without any labelled row the model is all zeros.
+    Rows with a null text take part as empty texts. Of rows that share an id, the one whose id and text have
+    the smallest md5 takes part, so that the sample is bounded in rows. Without any labelled row the model is
+    all zeros.
     """
     sample = (docs.select(F.col(f"`{id_}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
-              .join(F.broadcast(picked), "_id").withColumns({"_k": F.md5(F.concat(F.col("_id").cast("string"), F.lit("|"), F.col("_t"))), "_g": F.lit(0)}))
+              .join(F.broadcast(picked), "_id").withColumn("_k", F.md5(F.concat(F.col("_id").cast("string"), F.lit("|"), F.col("_t"))))
+              .groupBy("_id", "_y").agg(F.min_by("_t", "_k").alias("_t"), F.min("_k").alias("_k")).withColumn("_g", F.lit(0)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k", kind="stable")

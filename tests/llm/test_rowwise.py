@@ -166,3 +166,13 @@ def test_decontamination(spark, limit):
     kept = decontaminate.decontaminated(df, bench, remove="documents", limit=limit).count()
     assert kept == sum(w[2] == 0 for w in want)
     assert decontaminate.contamination(df, bench.limit(0), limit=limit)[0].where(f"`{name}`.n_hit > 0").count() == 0
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """A picked id with many rows gives one to the fit."""
+    from pavement.llm import linear
+
+    docs = spark.createDataFrame([(1, f"t{i % 3}") for i in range(300)] + [(2, "b"), (3, None), (4, "c")], "doc_id long, text string")
+    picked = linear.sample_ids(spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, y int"), "doc_id", "y", 10, 1)
+    found = linear.fitted(docs, picked, "doc_id", "text", lambda texts, y: linear.Model(np.ones(1, np.float32), float(len(texts)), float(sum(y))))
+    assert (found.bias, found.a) == (3.0, 2.0)
