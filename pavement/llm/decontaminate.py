@@ -5,7 +5,8 @@ shorter window if it has fewer words). The set of all windows is counted first;
 below ``limit`` windows it is shipped to the executors and every text is scanned
 once, in place, with no shuffle. Above it, texts send the hash of each of their
 windows to a join with the windows of the benchmark, and only the hits come
-back. Either way a hash hit counts only after its words were compared.
+back. In the scan a hash hit counts only after its words were compared; in the
+join, equal 128-bit digests are taken as equal words.
 """
 
 from __future__ import annotations
