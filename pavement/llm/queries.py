@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavement.llm import (bpe, decontaminate, extract, neardup, passages, pii, quality, repeats, sharding,
-                          toxicity)
+from pavement.llm import (bpe, collocations, decontaminate, extract, neardup, passages, pii, quality, repeats, sharding,
+                          tokencount, toxicity, whitening)
 from pavement.llm.columns import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+COUNTED_VOCABULARY = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,6 +105,25 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(bpe.token_columns(table(spark, folder, "documents"), path, public_tokenizers.PATTERN), "doc_id")
 
 
+@query
+def op11_finite_state_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document."""
+    docs = table(spark, folder, "documents")
+    return _flat(tokencount.token_counts(docs, public_tokenizers.path(COUNTED_VOCABULARY)), "doc_id")
+
+
+@query
+def op12_block_matrix_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_partitioned_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best 2,000 phrases of each language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 SQL["op2_interleaved_shards"] = """
 WITH base AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS stratum, coalesce(text, '') AS body,
@@ -180,3 +200,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+
+SQL["op13_partitioned_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cands AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+parts AS (
+  SELECT lang, max(n) AS around, array_to_string(w[i:i + j - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(1, k)) AS j FROM cands)) GROUP BY ALL),
+kept AS (SELECT c.* FROM cands c LEFT JOIN parts p USING (lang, phrase) WHERE p.around IS NULL OR 100 * p.around < 80 * c.n),
+cuts AS (SELECT *, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS tail
+         FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.n AS a, c, h.n AS l, t.n AS r, (2000000::HUGEINT * cuts.n) // (h.n + t.n) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS p FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE p = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n,
+       CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
