@@ -125,16 +125,17 @@ def label_probe(train: DataFrame, test: DataFrame, label: str, features: str = "
                       F.avg(-F.ln(F.greatest(own, F.lit(1e-15)))).alias("cross_entropy"))
 
 
-def batch_score(df: DataFrame, make_predict_fn: Callable, features: str = "tabular", width: int = 15,
+def batch_score(df: DataFrame, make_predict_fn: Callable, features: str = "tabular", width: int | list[int] = 15,
                 batch_size: int = 64, out: str = "z_pred") -> DataFrame:
     """Any user prediction function over a table, in Arrow batches.
 
     ``make_predict_fn()`` runs once per Python worker and returns a function from a
-    (batch, width) array to one value per row. With ``log_mean`` and ``log_std`` on
+    (batch, width) array to one value per row; ``width`` may be the shape of a tensor
+    that the column holds flat. With ``log_mean`` and ``log_std`` on
     the rows, ``pred`` is the count.
     """
     predict = predict_batch_udf(make_predict_fn, return_type=DoubleType(), batch_size=batch_size,
-                                input_tensor_shapes=[[width]])
+                                input_tensor_shapes=[width if isinstance(width, list) else [width]])
     scored = df.withColumn(out, predict(F.col(features).cast("array<double>")))
     if {"log_mean", "log_std"} <= set(df.columns):
         scored = scored.withColumn("pred", inverse_target(F.col(out), F.col("log_mean"), F.col("log_std")))
