@@ -96,7 +96,11 @@ def kmeans_global(df: DataFrame, k: int, features: str = "embedding", seed: int
 
 
 def tabular_regressor(train: DataFrame, kind: str = "huber", features: str = "tabular", label: str = "z"):
-    """Fit the log z-score label on the standardised features: robust linear or boosted trees."""
+    """Fit the log z-score label on the standardised features: robust linear (``huber``), boosted trees
+    (``boosted``) or a network (``mlp``, which needs the ids ``sid``)."""
+    if kind == "mlp":
+        from pavement.operators.network import mlp_regressor
+        return mlp_regressor(train, features=features, label=label)
     data = vectors(train, features)
     common = {"featuresCol": "_vector", "labelCol": label, "predictionCol": "z_pred"}
     estimator = (LinearRegression(loss="huber", maxIter=50, regParam=1e-4, **common) if kind == "huber"
