@@ -149,8 +149,9 @@ def small_mean_feature():
 
 
 @query("with_transform", """
-SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) * 2 + 1, 6) AS first, round(CAST(embedding[64] AS DOUBLE) * 2 + 1, 6) AS last FROM embeddings""")
+SELECT vec_id, CAST(i - 1 AS INT) AS idx, round(CAST(embedding[i] AS DOUBLE) * 2 + 1, 6) AS value
+FROM embeddings, (SELECT range AS i FROM range(1, 65)) r""")
 def _transform(b):
     doubles = b.base("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     out = L.with_transform(doubles, lambda v: v * 2 + 1, "v")
-    return out.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
+    return rounded(out.select("vec_id", F.posexplode("v").alias("idx", "value")), 6, "value")

@@ -194,12 +194,12 @@ def _smooth(b):
 # ---- attributions and separation -----------------------------------------------------------
 
 _ATTR = {"attr": """SELECT vec_id, label % 5 AS cluster, CAST(i - 1 AS INT) AS idx, CAST(embedding[i] AS DOUBLE) AS value
-FROM embeddings, (SELECT range AS i FROM range(1, 16)) r"""}
+FROM embeddings, (SELECT range AS i FROM range(1, 65)) r"""}
 
 
 def attributions(b):
     vectors = b.base("embeddings").select(
-        "vec_id", (F.col("label") % 5).alias("cluster"), F.slice(F.col("embedding").cast("array<double>"), 1, 15).alias("a"))
+        "vec_id", (F.col("label") % 5).alias("cluster"), F.col("embedding").cast("array<double>").alias("a"))
     return Z.long_attributions(vectors, "a", "vec_id", "cluster")
 
 
@@ -236,8 +236,7 @@ SELECT coalesce(label, -1) AS label, round(avg(s), 6) AS silhouette, count(*) AS
     GROUP BY i, label)) GROUP BY ROLLUP (label)""",
        {"v": "SELECT vec_id AS i, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"})
 def _silhouette(b):
-    """Exact Euclidean distances over a stated sample of 5,000 points."""
-    out = rounded(Z.silhouette(b.base("embeddings"), sample=5000), 6, "silhouette")
+    out = rounded(Z.silhouette(b.base("embeddings")), 6, "silhouette")
     return out.withColumn("label", F.coalesce("label", F.lit(-1).cast("bigint")))
 
 
@@ -259,9 +258,8 @@ def _silhouette_squared(b):
 SELECT round((both_ - a * b / total) / ((a + b) / 2 - a * b / total), 9) AS ari FROM (
 SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS both_, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY a)) AS a,
        (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY b)) AS b, (SELECT sum(n) * (sum(n) - 1) / 2 FROM t) AS total)""",
-       {"t": """SELECT label AS a, list_position(embedding[1:5], list_max(embedding[1:5])) AS b, CAST(count(*) AS DOUBLE) AS n
+       {"t": """SELECT label AS a, list_position(embedding, list_max(embedding)) AS b, CAST(count(*) AS DOUBLE) AS n
 FROM embeddings GROUP BY ALL"""})
 def _ari(b):
-    first = F.slice("embedding", 1, 5)
-    pairs = b.base("embeddings").select("label", F.array_position(first, F.array_max(first)).alias("other"))
+    pairs = b.base("embeddings").select("label", F.array_position("embedding", F.array_max("embedding")).alias("other"))
     return rounded(Z.adjusted_rand(pairs, "label", "other"), 9, "ari")

@@ -104,14 +104,14 @@ def _huber(b):
 
 
 @query("default_features", """
-SELECT vec_id, CASE WHEN label % 2 = 0 THEN round(CAST(embedding[1] AS DOUBLE), 9) ELSE 0 END AS f0,
-       CASE WHEN label % 2 = 0 THEN round(CAST(embedding[15] AS DOUBLE), 9) ELSE 0 END AS f14 FROM embeddings""")
+SELECT vec_id, CAST(i - 1 AS INT) AS idx, CASE WHEN label % 2 = 0 THEN round(CAST(embedding[i] AS DOUBLE), 9) ELSE 0 END AS value
+FROM embeddings, (SELECT range AS i FROM range(1, 65)) r""")
 def _defaults(b):
     # even labels have a complete list, odd ones are short or null
     vectors = b.base("embeddings").withColumn("d", F.col("embedding").cast("array<double>"))
-    given = (F.when(F.col("label") % 2 == 0, F.slice("d", 1, 15)).when(F.col("label") % 4 == 1, F.slice("d", 1, 7)))
-    full = vectors.withColumn("f", C.default_features(given))
-    return full.select("vec_id", F.round(F.col("f")[0], 9).alias("f0"), F.round(F.col("f")[14], 9).alias("f14"))
+    given = (F.when(F.col("label") % 2 == 0, F.col("d")).when(F.col("label") % 4 == 1, F.slice("d", 1, 7)))
+    full = vectors.withColumn("f", C.default_features(given, 64))
+    return full.select("vec_id", F.posexplode("f").alias("idx", "_v")).select("vec_id", "idx", F.round("_v", 9).alias("value"))
 
 
 @query("web_mercator", f"""
