@@ -28,6 +28,7 @@ Texts and contexts are named by 64-bit digests; equal names are taken as equal
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,18 +92,53 @@ def reach(data: bytes, at: int, width: int) -> int:
     return _name(data[lo:at - width + 1 + LENGTH] + (at - lo).to_bytes(4, "little"))
 
 
-def _wide(texts: pa.Array) -> pa.Array:
-    rows = []
-    for t in texts:
-        data = (t.as_py() or "").encode("utf-8")
-        found = []
-        if len(data) >= LENGTH:
-            for at in triggers(data, WIDE).tolist():
-                name = core(data, at, WIDE)
-                if name is not None:
-                    found.append({"at": at, "core": name})
-        rows.append(found)
-    return pa.array(rows, pa.list_(pa.struct([("at", pa.int32()), ("core", pa.int64())])))
+class _Rows:
+    """Rows of a task as flat columns, handed on in slices of bounded size."""
+
+    MOST = 200_000
+
+    def __init__(self, **columns: pa.DataType):
+        self.schema = pa.schema(list(columns.items()))
+        self.held: list[list[np.ndarray]] = [[] for _ in columns]
+        self.size = 0
+
+    def add(self, count: int, *columns) -> None:
+        """``count`` rows; a column is an array of them or one value for all."""
+        for held, values in zip(self.held, columns):
+            held.append(values if isinstance(values, np.ndarray) else np.full(count, values, np.int64))
+        self.size += count
+
+    def slices(self, least: int = MOST) -> Iterator[pa.RecordBatch]:
+        """What is held, if there are ``least`` rows of it."""
+        if self.size >= least:
+            whole = [np.concatenate(h) for h in self.held]
+            for k in range(0, self.size, self.MOST):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k:k + self.MOST], t) for c, t in zip(whole, self.schema.types)],
+                                                 schema=self.schema)
+            self.held, self.size = [[] for _ in self.held], 0
+
+
+def _names(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of several stretches."""
+    hashed = xxhash.xxh3_64_intdigest
+    return np.array([hashed(data[a:b]) for a, b in zip(begin.tolist(), end.tolist())], np.uint64).view(np.int64)
+
+
+def _cores(data: bytes, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors where a string fits, and the names of their cores."""
+    at = at[(at >= width - 1) & (at <= len(data) - LENGTH + 2 * width - 1)]
+    return at, _names(data, at - width + 1, at - 2 * width + 1 + LENGTH)
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = _Rows(name=pa.int64(), at=pa.int32(), core=pa.int64())
+    for batch in batches:
+        for name, text in zip(batch.column("name").to_pylist(), batch.column("text")):
+            data = text.as_py().encode("utf-8")
+            at, cores = _cores(data, triggers(data, WIDE), WIDE)
+            out.add(len(at), name, at, cores)
+            yield from out.slices()
+    yield from out.slices(1)
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -116,34 +152,38 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _narrow(texts: pa.Array, places: pa.Array) -> pa.Array:
-    rows = []
-    for t, p in zip(texts, places):
-        data = t.as_py().encode("utf-8")
-        # starts that are still possible, and from them where their narrow anchors can be
-        left = covered([starts_of(at, len(data), WIDE) for at in p.as_py()])
-        found, all_ = [], triggers(data, NARROW)
-        for a, b in covered([(a + NARROW - 1, b + 2 * NARROW - 1) for a, b in left]):
-            for at in all_[np.searchsorted(all_, a):np.searchsorted(all_, b)].tolist():
-                name = core(data, at, NARROW)
-                if name is not None:
-                    found.append({"at": at, "core": name, "reach": reach(data, at, NARROW)})
-        rows.append(found)
-    return pa.array(rows, pa.list_(pa.struct([("at", pa.int32()), ("core", pa.int64()), ("reach", pa.int64())])))
-
-
-def _suffixes(texts: pa.Array, open_: pa.Array) -> pa.Array:
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = _Rows(name=pa.int64(), copies=pa.int64(), at=pa.int32(), core=pa.int64(), reach=pa.int64())
+    for batch in batches:
+        for name, copies, text, places in zip(batch.column("name").to_pylist(), batch.column("copies").to_pylist(),
+                                              batch.column("text"), batch.column("places")):
+            data = text.as_py().encode("utf-8")
+            # starts that are still possible, and from them where their narrow anchors can be
+            left = covered([starts_of(at, len(data), WIDE) for at in places.as_py()])
+            all_ = triggers(data, NARROW)
+            for a, b in covered([(a + NARROW - 1, b + 2 * NARROW - 1) for a, b in left]):
+                at, cores = _cores(data, all_[np.searchsorted(all_, a):np.searchsorted(all_, b)], NARROW)
+                reaches = np.array([reach(data, x, NARROW) for x in at.tolist()], np.int64)
+                out.add(len(at), name, copies, at, cores, reaches)
+            yield from out.slices()
+    yield from out.slices(1)
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The strings of the anchors that need them, named together with their distance to the anchor."""
-    rows = []
-    for t, o in zip(texts, open_):
-        data = t.as_py().encode("utf-8")
-        found = []
-        for x in o.as_py() or []:
-            a, b = starts_of(x["at"], len(data), NARROW)
-            for i in range(a, b):
-                found.append({"start": i, "name": _name(data[i:i + LENGTH] + bytes([x["at"] - i])), "weight": x["weight"]})
-        rows.append(found)
-    return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("name", pa.int64()), ("weight", pa.int64())])))
+    out = _Rows(name=pa.int64(), start=pa.int32(), string=pa.int64(), weight=pa.int64())
+    hashed = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        for name, text, anchors in zip(batch.column("name").to_pylist(), batch.column("text"), batch.column("open")):
+            data = text.as_py().encode("utf-8")
+            places, weights = (anchors.values.field(k).to_numpy() for k in ("at", "weight"))
+            for at, weight in zip(places.tolist(), weights.tolist()):
+                a, b = starts_of(at, len(data), NARROW)
+                if a < b:
+                    strings = np.array([hashed(data[i:i + LENGTH] + bytes([at - i])) for i in range(a, b)], np.uint64).view(np.int64)
+                    out.add(b - a, name, np.arange(a, b), strings, weight)
+                yield from out.slices()
+    yield from out.slices(1)
 
 
 _CUT = "n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
@@ -189,16 +229,14 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.col(f"`{text}`")
     named = docs.where(F.octet_length(body) >= LENGTH).select(text_name(body).alias("name"), body.alias("text"))
-    places = written(named.select("name", F.explode(F.arrow_udf(_wide, "array<struct<at:int,core:long>>")("text")).alias("p"))
-                     .select("name", "p.at", "p.core"))
+    places = written(named.mapInArrow(_wide, "name long, at int, core long"))
     often = written(places.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"))
     near = written(places.join(often, "core").groupBy("name").agg(F.collect_set("at").alias("places")))
     # from here on a text stands for all its copies, with their number as its weight
     copies = named.join(_few(near.select("name")), "name", "left_semi")
     texts = written(copies.groupBy("name").agg(F.first("text").alias("text"), F.count("*").alias("copies")).join(near, "name"))
-    rows = written(texts.select("name", "copies", F.explode(
-        F.arrow_udf(_narrow, "array<struct<at:int,core:long,reach:long>>")("text", "places")).alias("p"))
-        .select("name", "copies", "p.at", "p.core", "p.reach"))
+    rows = written(texts.select("name", "copies", "text", "places")
+                   .mapInArrow(_narrow, "name long, copies long, at int, core long, reach long"))
     reaches = rows.groupBy("reach").agg(F.min("core").alias("core"), F.sum("copies").alias("same"),
                                         F.min(F.struct("name", "at")).alias("rep"))
     reaches = written(reaches)
@@ -210,9 +248,8 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     marks = written(judged.groupBy("name").agg(F.collect_list(F.when(F.col("same") > 1, F.col("at"))).alias("whole"),
                                                F.collect_list(weight).alias("open")))
     ready = written(texts.drop("places", "copies").join(marks, "name"))
-    suffixes = written(ready.where(F.size("open") > 0).select("name", F.explode(
-        F.arrow_udf(_suffixes, "array<struct<start:int,name:long,weight:long>>")("text", "open")).alias("s"))
-        .select("name", "s.start", F.col("s.name").alias("string"), "s.weight"))
+    suffixes = written(ready.where(F.size("open") > 0).select("name", "text", "open")
+                       .mapInArrow(_suffixes, "name long, start int, string long, weight long"))
     twice = written(suffixes.groupBy("string").agg(F.sum("weight").alias("c")).where("c > 1").select("string"))
     single = (suffixes.join(twice, "string").groupBy("name").agg(F.collect_set("start").alias("single")))
     done = ready.join(written(single), "name", "left").select("name", F.arrow_udf(_cut, _CUT)("text", "whole", "single").alias("r"))
