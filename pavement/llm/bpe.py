@@ -9,8 +9,8 @@ positions go from left to right. A word in which a merge makes a pair of lower
 rank than the one at work is encoded by itself, so every word's ids are those of
 encoding it alone.
 
-There is no shuffle: words repeat mostly within a batch, and one batch (a few
-tens of MB, set by Spark's Arrow batch limits) is one corpus to replay. Each
+There is no shuffle: words repeat mostly within a batch, and one block (about
+8 MB of texts) is one corpus to replay; words are remembered between blocks. Each
 executor reads the rank file once; its path is a parameter and must be readable
 on every executor, or its bytes are shipped by the caller as ``ranks``.
 """
@@ -21,6 +21,9 @@ import base64
 import functools
 import heapq
 import re
+from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 
 from pavement.llm.columns import arrow_struct, sha256, with_struct
 
-_MEMORY = 1_000_000   # words whose ids a worker remembers between batches
+_MEMORY = 96_000_000   # bytes of words and ids, with what Python adds, that a task remembers between blocks
+_ENTRY = 240           # bytes that an entry takes besides its characters
 
 
 @functools.lru_cache(maxsize=4)
@@ -196,30 +200,38 @@ def _merges(path: str) -> Merges:
     return Merges(*load_ranks(path))
 
 
+class _Numbers(dict):
+    """Words in the order in which they were met."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Encoder:
-    """Texts of one worker to ids; remembers words, so that a frequent word is replayed once."""
+    """Texts of one task to ids; remembers words, so that a frequent word is replayed once."""
 
     def __init__(self, path: str, pattern: str):
         self.merges, self.find = _merges(path), splitter(pattern)
-        self.words: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.ids, self.size = _Numbers(), [], 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for null or empty."""
-        split = [self.find(t) if t else [] for t in texts]
-        if len(self.words) > _MEMORY:
-            self.words = {}
-        words, ranks, fresh = self.words, self.merges.ranks, []
-        for word in set().union(*split) if split else ():
-            if word not in words:
-                raw = word.encode("utf-8")
-                whole = ranks.get(raw)
-                if whole is not None:
-                    words[word] = whole.to_bytes(4, "little")
-                else:
-                    fresh.append((word, raw))
-        for (word, _), ids in zip(fresh, self.merges.replay([raw for _, raw in fresh])):
-            words[word] = ids
-        return [b"".join(map(words.__getitem__, parts)) for parts in split]
+        if self.size > _MEMORY:
+            self.forget()
+        number = self.numbers.__getitem__
+        # a text is kept as the numbers of its words: four bytes a word
+        split = [array("I", map(number, self.find(t))) if t else () for t in texts]
+        fresh = [w.encode("utf-8") for w in islice(self.numbers, len(self.ids), None)]
+        whole = [self.merges.ranks.get(raw) for raw in fresh]
+        replayed = iter(self.merges.replay([raw for raw, rank in zip(fresh, whole) if rank is None]))
+        found = [next(replayed) if rank is None else rank.to_bytes(4, "little") for rank in whole]
+        self.ids += found
+        self.size += sum(map(len, fresh)) + sum(map(len, found)) + _ENTRY * len(fresh)
+        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 
 def decode_ids(ids: bytes, tokens: list[bytes]) -> bytes:
@@ -232,12 +244,7 @@ def decode_ids(ids: bytes, tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, found.tolist()))
 
 
-@functools.lru_cache(maxsize=4)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
-
-
-def _blocks(texts: pa.Array, most: int = 16_000_000):
+def _blocks(texts: pa.Array, most: int = 8_000_000):
     """Runs of texts of about ``most`` characters, so that one replay has a bounded size."""
     block, size = [], 0
     for scalar in texts:
@@ -255,9 +262,10 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     """Ids of each text as binary (little-endian unsigned 32-bit). Null and empty texts have no ids."""
 
     @F.arrow_udf("binary")
-    def ids(texts: pa.Array) -> pa.Array:
-        coder = _encoder(path, pattern)
-        return pa.array([x for block in _blocks(texts) for x in coder.encode(block)], pa.binary())
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = Encoder(path, pattern)
+        for texts in batches:
+            yield pa.array([x for block in _blocks(texts) for x in coder.encode(block)], pa.binary())
 
     return ids(text)
 
@@ -286,12 +294,13 @@ def token_columns(df: DataFrame, path: str, pattern: str, text: str = "text", id
         fields, schema = [*fields, ("ids", pa.binary())], f"{schema}, ids binary"
 
     @F.arrow_udf(schema)
-    def digest(texts: pa.Array) -> pa.Array:
-        coder, tokens = _encoder(path, pattern), load_ranks(path)[1]
-        rows = []
-        for block in _blocks(texts):
-            for found in coder.encode(block):
-                rows.append((len(found) // 4, sha256(found), sha256(decode_ids(found, tokens)), found)[:len(fields)])
-        return arrow_struct(fields, rows)
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder, tokens = Encoder(path, pattern), load_ranks(path)[1]
+        for texts in batches:
+            rows = []
+            for block in _blocks(texts):
+                for found in coder.encode(block):
+                    rows.append((len(found) // 4, sha256(found), sha256(decode_ids(found, tokens)), found)[:len(fields)])
+            yield arrow_struct(fields, rows)
 
     return with_struct(df, text, digest, "_tokens")
