@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pavement.llm.columns import arrow_struct, sha256, with_struct
+from pavement.llm.columns import arrow_struct, give_back, sha256, with_struct
 
 _MEMORY = 96_000_000   # bytes of words and ids, with what Python adds, that a task remembers between blocks
 _ENTRY = 240           # bytes that an entry takes besides its characters
@@ -266,6 +266,8 @@ def encode(text: Column, path: str, pattern: str) -> Column:
         coder = Encoder(path, pattern)
         for texts in batches:
             yield pa.array([x for block in _blocks(texts) for x in coder.encode(block)], pa.binary())
+        coder.forget()
+        give_back()
 
     return ids(text)
 
@@ -302,5 +304,8 @@ def token_columns(df: DataFrame, path: str, pattern: str, text: str = "text", id
                 for found in coder.encode(block):
                     rows.append((len(found) // 4, sha256(found), sha256(decode_ids(found, tokens)), found)[:len(fields)])
             yield arrow_struct(fields, rows)
+            del rows
+        coder.forget()
+        give_back()
 
     return with_struct(df, text, digest, "_tokens")

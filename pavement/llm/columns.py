@@ -9,7 +9,9 @@ text and not the number of rows.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,13 @@ def arrow_struct(fields: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa
         fields=[pa.field(n, t) for n, t in fields])
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers live on between stages, and what one leaves is missing in the next."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pavement.llm.columns import arrow_struct, gram_hashes
+from pavement.llm.columns import arrow_struct, give_back, gram_hashes
 from pavement.llm.components import components
 from pavement.plans.storage import written
 
@@ -80,7 +80,10 @@ def _signed(k: int):
         for t in texts:
             h = shingles(t.as_py(), k)
             rows.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), signature(h)) if len(h) else (0, None, None))
-        return arrow_struct(fields, rows)
+        signed = arrow_struct(fields, rows)
+        del rows
+        give_back()
+        return signed
 
     return sign
 
@@ -88,7 +91,9 @@ def _signed(k: int):
 def _as_sets(k: int):
     @F.arrow_udf("binary")
     def make(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t.as_py(), k).tobytes() for t in texts], pa.binary())
+        made = pa.array([shingles(t.as_py(), k).tobytes() for t in texts], pa.binary())
+        give_back()
+        return made
 
     return make
 
