@@ -109,7 +109,8 @@ def with_views(sql: str, more: dict[str, str] | None = None, skip=frozenset()) -
     views, _ = needed(" ".join([*more.values(), sql]))
     parts = [f"{v} AS ({VIEWS[v].strip()})" for v in views if v not in skip]
     parts += [f"{name} AS ({text.strip()})" for name, text in more.items()]
-    return f"WITH {', '.join(parts)}\n{sql.strip()}" if parts else sql.strip()
+    own = any(re.search(rf"\b{name}\b", text) for name, text in more.items())
+    return f"WITH {'RECURSIVE ' if own else ''}{', '.join(parts)}\n{sql.strip()}" if parts else sql.strip()
 
 
 # City tables already written, by application and folder.
