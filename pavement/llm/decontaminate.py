@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pavement.llm.columns import arrow_struct, fresh, with_struct
+from pavement.llm.columns import arrow_struct, fresh, give_back, with_struct
 from pavement.plans.storage import written
 
 WIDTH = 10
@@ -218,18 +218,42 @@ def cut_spans(text: str, spans: list[dict]) -> str:
     return "".join([*out, text[at:]])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", text: str = "text",
-                   **how) -> DataFrame:
+def _cleaner(items: list[tuple[str, str | None]], width: int):
+    """Scan and cut in one function, so that a task needs one Python worker and not two."""
+    shared = {}
+
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        if "w" not in shared:
+            shared["w"] = Windows(items, width)
+        out = []
+        for scalar in texts:
+            text = scalar.as_py()
+            out.append(text and cut_spans(text, hit_spans(text, shared["w"].scan(normalised(text))[0])))
+        cleaned = pa.array(out, pa.string())
+        del out
+        give_back()
+        return cleaned
+
+    return clean
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", text: str = "text", item: str = "item_id",
+                   item_text: str = "text", width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
     """``docs`` without what hits the benchmark: the hit spans, or whole ``documents`` that have any.
 
     The columns are those of ``docs``; null texts stay null.
     """
-    found, name = contamination(docs, benchmark, text, **how)
+    if remove not in ("spans", "documents"):
+        raise ValueError(f"remove is spans or documents, not {remove}")
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    items = bounded_items(benchmark, item, item_text, width, limit)
+    if remove == "spans" and items is not None:
+        return docs.withColumn(text, _cleaner(items, width)(F.col(f"`{text}`"))).select(*columns)
+    found, name = (with_struct(docs, text, _scanner(items, width), "_hits") if items is not None
+                   else _joined(docs, benchmark, text, item, item_text, width))
     if remove == "documents":
         return found.where(F.col(f"{name}.n_hit") == 0).select(*columns)
-    if remove != "spans":
-        raise ValueError(f"remove is spans or documents, not {remove}")
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array, spans: pa.Array) -> pa.Array:
