@@ -5,17 +5,25 @@ class has ``COORDINATES`` min-hashes. A tree sends a class down the paths that
 its min-hashes at chosen coordinates spell: at the roots of ``TREES`` trees about
 1 / similarity coordinates each are chosen, all of them distinct. A node that is
 small is compared exhaustively; a large one is branched again by more chosen
-coordinates. What is still large at the last level is compared exhaustively too.
-The branches are so many that a pair at the threshold meets with a chance of
-``RECALL`` even if its nodes stay large at every level.
-
-Only components are asked for, which keeps large groups of copies linear: the
-classes of a node are first compared with the smallest of the node, and after
-that only classes of different components are. A node whose classes are all in
-one component is done, whatever its size. Candidates must look similar on one bit
-of each min-hash, which travels with the node's rows (five standard deviations of
-slack), then on their signatures (four), and every link is confirmed on the full
-sets.
+coordinates. The branches are so many that a pair at the threshold meets with a
+chance of ``RECALL`` even if its nodes stay large at every level.
+
+No large node is ever compared pair by pair. At the roots it is recentred first:
+its pivot is the class nearest to the majority of the node, and the classes around
+the pivot are told apart by their differences from it. Two of them can only be
+linked if these differences share enough tokens, so that an exact prefix filter on
+the rarer tokens proposes the pairs (``Joiner.recentre``). Classes whose every
+possible partner is around the pivot, too, are done then; the others are branched.
+The classes of nodes that are still large at the last level go through one such
+filter on their whole sets.
+
+Only components are asked for, which keeps large groups of copies linear: classes
+are first compared with the pivot, and after that only classes of different
+components are. A node whose classes are all in one component is done, whatever
+its size. Candidates must look similar on one bit of each min-hash, which travels
+with the node's rows (five standard deviations of slack), or share tokens of
+their differences, then on their signatures (four), and every link is confirmed
+on the full sets.
 """
 
 from __future__ import annotations
@@ -41,7 +49,13 @@ SMALL = 16
 #: Each branch of a large node reads as many coordinates at a time as leave a pair at the threshold
 #: together with a chance of 0.4; nodes are branched DEPTH - 1 times at most.
 TOGETHER = 0.4
-DEPTH = 3
+DEPTH = 2
+#: Coordinates on which a class agrees with its node's pivot to count as around it.
+AROUND = 24
+#: Bits that choose a pivot: the class of a node that differs least from the majority on them.
+VOTES = 24
+#: Ranges of differences that the prefix filter tells apart; each is twice as wide as the one before.
+RANGES = 9
 #: Chance that a pair at the threshold meets, whatever the sizes of its nodes, over all levels.
 RECALL = 0.99
 #: Rows of a side that may be broadcast: 16-byte keys, so about 100 MB. Beyond it the join shuffles.
@@ -110,6 +124,14 @@ def _common(a: pa.Array, b: pa.Array) -> pa.Array:
                                         assume_unique=True)) for x, y in zip(a, b)], pa.int64())
 
 
+def _differences(sets: pa.Array, pivots: pa.Array) -> pa.Array:
+    """Tokens that are in one of two sorted sets only."""
+    found = [np.setxor1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), assume_unique=True)
+             for x, y in zip(sets, pivots)]
+    sizes = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+
+
 def keep_known(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows whose key is among ``keys`` (a written table): broadcast if few, else a shuffle join."""
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -182,8 +204,8 @@ class Joiner:
         self.differ = math.ceil(COORDINATES * (1 - same) + 5 * math.sqrt(COORDINATES * same * (1 - same)))
         self.links: list[DataFrame] = []
 
-    def confirm(self, pairs: DataFrame) -> DataFrame | None:
-        """The pairs (a, b) that hold on the full sets, written and added to the links; None without any."""
+    def confirm(self, pairs: DataFrame, sets: DataFrame | None = None) -> None:
+        """Add the pairs (a, b) that hold on the full sets to the links; ``sets`` if they are written already."""
         sig = self.classes
         likely = written(
             pairs.distinct()
@@ -191,52 +213,139 @@ class Joiner:
             .join(sig.select(F.col("class").alias("b"), F.col("sig").alias("sb")), "b")
             .where(F.arrow_udf(_agreeing, "int")("sa", "sb") >= self.least).select("a", "b"))
         if likely.isEmpty():
-            return None
-        sets = written(self.sets(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()))
+            return
+        if sets is None:
+            sets = written(self.sets(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()))
         size = lambda c: F.octet_length(c) / 8
-        links = written(
-            likely.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
-            .join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
-            .where(100 * F.least(size("sa"), size("sb")) >= self.percent * F.greatest(size("sa"), size("sb")))
-            .withColumn("c", F.arrow_udf(_common, "long")("sa", "sb"))
-            .where(100 * F.col("c") >= self.percent * (size("sa") + size("sb") - F.col("c"))).select("a", "b"))
-        if links.isEmpty():
-            return None
-        self.links.append(links)
-        return links
+        self.add(likely.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
+                 .join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
+                 .where(100 * F.least(size("sa"), size("sb")) >= self.percent * F.greatest(size("sa"), size("sb")))
+                 .withColumn("c", F.arrow_udf(_common, "long")("sa", "sb"))
+                 .where(100 * F.col("c") >= self.percent * (size("sa") + size("sb") - F.col("c"))).select("a", "b"))
+
+    def add(self, links: DataFrame) -> None:
+        links = written(links)
+        if not links.isEmpty():
+            self.links.append(links)
+
+    def merged(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (class, comp, ...) with the components that the links make."""
+        if not self.links:
+            return rows
+        labels = components(reduce(DataFrame.union, self.links))
+        return (rows.join(labels.select(F.col("id").alias("class"), "label"), "class", "left")
+                .withColumn("comp", F.coalesce("label", "comp")).drop("label"))
 
     def near(self, a: str, b: str) -> Column:
         """Whether the bits of two classes differ no more than those of a similar pair."""
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= self.differ
 
-    def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
+    def level(self, nodes: DataFrame, first: bool, last: bool) -> DataFrame | None:
         """Compare within the nodes (node, class, comp, bits); the rows of large nodes that stay open, if any.
 
-        Classes of equal ``comp`` are known to be in one component. The links that
-        the smallest of each node brings are merged before anything else is compared.
+        Classes of equal ``comp`` are known to be in one component.
         """
-        heads = (nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("class", "comp", "bits")).alias("pivot"),
-                                           F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi"))
-        rows = written(nodes.join(heads, "node").select("node", "class", "comp", "bits", "n", "pivot"))
-        self.confirm(rows.where((F.col("comp") != F.col("pivot.comp")) & self.near("bits", "pivot.bits"))
-                     .select(F.col("pivot.class").alias("a"), F.col("class").alias("b")))
-        rows = rows.drop("pivot")
-        if self.links:
-            labels = components(reduce(DataFrame.union, self.links))
-            rows = (rows.join(labels.select(F.col("id").alias("class"), "label"), "class", "left")
-                    .withColumn("comp", F.coalesce("label", "comp")).drop("label"))
-        # open is a node with members of more than one component
-        away = (rows.groupBy("node").agg(F.min("comp").alias("home"), F.max("comp").alias("hi")).where("home <> hi").drop("hi"))
-        rows = written(rows.join(away, "node").select("node", "class", "comp", "bits", "n", "home"))
-        small = rows if last else rows.where(F.col("n") <= SMALL)
-        apart = small.where("comp <> home").select("node", F.col("class").alias("a"), F.col("comp").alias("other"), F.col("bits").alias("others"))
-        pair = [F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")]
-        self.confirm(apart.join(small, "node").where((F.col("comp") != F.col("other")) & self.near("bits", "others")).select(*pair))
+        # each node's size, its smallest class, and the majority of its classes for some bits
+        ones = [F.sum(F.getbit("bits", F.lit(i)).cast("int")).alias(f"b{i}") for i in range(VOTES)]
+        heads = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("class", "comp", "bits")).alias("least"),
+                                          F.min("comp").alias("lo"), F.max("comp").alias("hi"), *ones).where("lo <> hi")
+        bit = lambda i: F.shiftleft((2 * F.col(f"b{i}") > F.col("n")).cast("long"), i)
+        heads = heads.select("node", "n", "least", reduce(Column.bitwiseOR, map(bit, range(VOTES))).alias("majority"))
+        rows = written(nodes.join(heads, "node"))
+        self.small(rows.where(F.col("n") <= SMALL).drop("majority"))
+        large = rows.where(F.col("n") > SMALL)
         if last:
+            left = written(large.select("class", "comp").distinct())
+            if not left.isEmpty():
+                self.recentre(left.select(F.lit(0).alias("pivot"), "class", "comp"), False)
             return None
-        rest = rows.where(F.col("n") > SMALL).select("node", "class", "comp", "bits")
+        far = F.bit_count(F.col("bits").bitwiseXOR(F.col("majority")).bitwiseAND(F.lit(2 ** VOTES - 1)))
+        pivots = written(large.groupBy("node").agg(F.min(F.struct(far, "class")).alias("p")).select("node", F.col("p.class").alias("pivot")))
+        if pivots.isEmpty():
+            return None
+        large = large.select("node", "class", "comp", "bits")
+        if not first:
+            return large
+        centres = pivots.join(self.classes.select(F.col("class").alias("pivot"), F.col("sig").alias("centre")), "pivot")
+        large = written(large.join(centres, "node").join(self.classes, "class")
+                        .select("node", "class", "comp", "bits", "pivot", F.arrow_udf(_agreeing, "int")("sig", "centre").alias("agree")))
+        self.recentre(large.where(F.col("agree") >= AROUND).select("pivot", "class", "comp").distinct())
+        # a partner agrees with the pivot on so many coordinates less, at most
+        rest = large.where(F.col("agree") < AROUND + COORDINATES - self.least).select("node", "class", "comp", "bits")
+        rest = self.merged(rest)
+        apart = rest.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
+        rest = written(rest.join(apart, "node").select("node", "class", "comp", "bits"))
         return None if rest.isEmpty() else rest
 
+    def small(self, rows: DataFrame) -> None:
+        """Compare within small nodes: with their smallest class first, then the classes that are still apart."""
+        self.confirm(rows.where((F.col("comp") != F.col("least.comp")) & self.near("bits", "least.bits"))
+                     .select(F.col("least.class").alias("a"), F.col("class").alias("b")))
+        rows = self.merged(rows.select("node", "class", "comp", "bits"))
+        away = rows.groupBy("node").agg(F.min("comp").alias("home"), F.max("comp").alias("hi")).where("home <> hi").drop("hi")
+        rows = written(rows.join(away, "node").select("node", "class", "comp", "bits", "home"))
+        apart = rows.where("comp <> home").select("node", F.col("class").alias("a"), F.col("comp").alias("other"), F.col("bits").alias("others"))
+        self.confirm(apart.join(rows, "node").where((F.col("comp") != F.col("other")) & self.near("bits", "others"))
+                     .select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")))
+
+    def recentre(self, members: DataFrame, centred: bool = True) -> None:
+        """All links among the classes around each pivot (pivot, class, comp), by their differences from it.
+
+        If not ``centred``, the pivots are names only and stand for empty sets.
+
+        With d the tokens that a class and the pivot do not share and n the class's
+        size, ``off`` = (100 + percent) |d| - (100 - percent) n. Two classes are linked
+        if and only if their differences share (off + off') / (2 (100 + percent)) tokens
+        or more. A class is linked to the pivot if ``off`` is at most the pivot's
+        ``reach``, (100 - percent) times its size; of two classes of different components
+        the one that is more off is beyond that. So the less off one needs only its rarest
+        tokens looked up, as many as leave fewer than must be shared, and the other one
+        is found under so many of its own. How many must be shared depends on how far off
+        the other one is: ranges of that are looked up separately.
+        """
+        members = written(members)
+        sets = written(self.sets(members.select("class").distinct()))
+        size = lambda c: (F.octet_length(c) / 8).cast("long")
+        centres = sets.select(F.col("class").alias("pivot"), F.col("set").alias("of"))
+        more, less = 100 + self.percent, 100 - self.percent
+        rows = members.join(sets, "class")
+        rows = rows.join(centres, "pivot") if centred else rows.withColumn("of", F.lit(b""))
+        moved = written(rows.select("pivot", "class", "comp", size("set").alias("n"), (less * size("of")).alias("reach"),
+                                F.arrow_udf(_differences, "array<long>")("set", "of").alias("d"))
+                        .withColumn("off", more * F.size("d") - less * F.col("n")))
+        if centred:
+            self.add(moved.where("off <= reach AND class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
+        tokens = moved.select("pivot", "class", (F.col("off") > F.col("reach")).alias("open"), F.explode("d").alias("token"))
+        # tokens of one class alone, or of none that is open, propose no pair
+        counted = (tokens.groupBy("pivot", "token").agg(F.count("*").alias("c"), F.max("open").alias("open"))
+                   .where("c > 1 AND open").drop("open"))
+        shared = (tokens.drop("open").join(counted, ["pivot", "token"])
+                  .groupBy("pivot", "class").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("s"))
+                  .withColumn("s", F.col("s.token")))
+        rows = written(self.merged(moved.withColumn("d", F.size("d")).join(shared, ["pivot", "class"])))
+        step = 2 * more
+        over = F.col("off") - F.col("reach")
+        range_ = F.when(over <= step, 0).otherwise(F.least(F.lit(RANGES - 1), F.floor(F.log2(over / step)).cast("int") + 1))
+        # a partner is at most 100 / percent times as large and shares no more than its own difference
+        must = F.greatest(F.lit(1), F.ceil((F.col("off") - less * 100 * F.col("n") / self.percent) / more))
+        own = F.slice("s", 1, F.greatest(F.lit(0), F.size("s") - must + 1).cast("int"))
+        far = (rows.where("off > reach").select("pivot", F.col("class").alias("b"), F.col("comp").alias("other"), F.col("off").alias("others"),
+                                                range_.alias("range"), F.explode(own).alias("token")))
+        looked = []
+        for r in range(RANGES):
+            low = F.col("reach") + (1 if r == 0 else step * 2 ** (r - 1))
+            must = F.greatest(F.lit(1), F.ceil((F.col("off") + F.greatest(low, F.col("off"))) / step))
+            # what is not in s comes first and finds nothing
+            many = F.greatest(F.lit(0), F.size("s") - must + 1).cast("int")
+            if r < RANGES - 1:
+                many = F.when(F.col("off") <= F.col("reach") + step * 2 ** r, many).otherwise(0)
+            looked.append(F.transform(F.slice("s", 1, many), lambda t: F.struct(F.lit(r).alias("range"), t.alias("token"))))  # noqa: B023
+        rare = (rows.select("pivot", F.col("class").alias("a"), "comp", "off", F.explode(F.flatten(F.array(*looked))).alias("l"))
+                .select("pivot", "a", "comp", "off", "l.range", "l.token"))
+        ordered = F.struct("off", "a") < F.struct("others", "b")
+        self.confirm(rare.join(far, ["pivot", "range", "token"]).where((F.col("comp") != F.col("other")) & ordered)
+                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets)
+
     def run(self, trees: int = TREES, depth: int = DEPTH) -> DataFrame | None:
         """(id, label) of the linked classes, or None without any link."""
         roots, branches = roots_and_branches(self.percent, trees, depth)
@@ -251,7 +360,7 @@ class Joiner:
         bits = self.classes.select("class", F.arrow_udf(_bits, "long")("sig").alias("bits"))
         nodes = nodes.join(met, "node").join(bits, "class").withColumn("comp", F.col("class"))
         for at in range(depth):
-            rest = self.level(nodes, at == depth - 1)
+            rest = self.level(nodes, at == 0, at == depth - 1)
             if rest is None:
                 break
             # each node chooses its own coordinates for its branches

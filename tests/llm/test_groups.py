@@ -120,6 +120,28 @@ def test_recall_in_large_families(spark):
     assert neardup.recall(80, branches - 1, neardup.apart_over(roots)) < neardup.RECALL
 
 
+def test_few_candidates_below_the_threshold(spark, monkeypatch):
+    """Hundreds of variants of one set, most of them just too different: pairs are found without trying all."""
+    draw = random.Random(14)
+    base, rows = [draw.getrandbits(64) for _ in range(150)], []
+    for i in range(300):
+        gone = set(draw.sample(range(150), draw.choice([4, 14, 18, 22])))
+        kept = [h for at, h in enumerate(base) if at not in gone]
+        rows.append((i, sorted(kept + [draw.getrandbits(64) for _ in gone])))
+    tried, confirm = [], neardup.Joiner.confirm
+    monkeypatch.setattr(neardup.Joiner, "confirm", lambda self, pairs, *sets: (tried.append(pairs.distinct().count()), confirm(self, pairs, *sets))[1])
+    label = {int.from_bytes(r.id, "big"): r.label for r in joined(spark, rows, 85).run().collect()}
+    sets, want = [set(h) for _, h in rows], list(range(300))
+    for i in range(300):
+        for j in range(i):
+            c = len(sets[i] & sets[j])
+            if 100 * c >= 85 * (len(sets[i]) + len(sets[j]) - c) and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if w == old else w for w in want]
+    assert [int.from_bytes(label[i], "big") if i in label else i for i in range(300)] == want
+    assert sum(tried) < 300 * 20  # all pairs would be 44,850
+
+
 def test_recall_in_large_buckets(spark):
     """The same in a single bucket, as op1 has them; bands and branchings together keep 0.99."""
     draw = random.Random(13)
