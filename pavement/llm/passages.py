@@ -16,7 +16,6 @@ an equal run of ``windows.WIDTH`` words with an earlier occurrence is removed to
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 
@@ -26,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pavement.llm.columns import arrow_struct, gram_hashes
+from pavement.llm.columns import give_back, gram_hashes
 from pavement.llm.decontaminate import cut_spans
 from pavement.llm.neardup import BROADCAST_ROWS, Joiner, branches_for, signature
-from pavement.llm.windows import repeated_windows
+from pavement.llm.windows import anchor_lists, anchors, hashed, joined, repeated_windows, struct_lists
 from pavement.plans.storage import written
 
 SHINGLE = 5
@@ -86,10 +85,6 @@ def pieces(text: str | None) -> tuple[list[tuple[int, int]], list[int], list[byt
     return spans, [*firsts, len(words)], words
 
 
-def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 def piece_sets(firsts: list[int], codes: np.ndarray) -> list[np.ndarray]:
     """Shingle hashes of each piece; a piece of fewer words is one shingle."""
     grams = gram_hashes(codes, (SHINGLE,), SHINGLE)[0]
@@ -119,17 +114,20 @@ def banded(sets: list[np.ndarray]) -> np.ndarray:
     return h.T.view(np.int64)
 
 
-_UNIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
+CUT = ("u array<struct<start:int,end:int,n:int,key:long,bands:array<long>>>, "
+       "a array<struct<fp:long,ctx:long,at:int,lo:int,hi:int>>")
 
 
 def _cut(texts: pa.Array) -> pa.Array:
-    """Per document its pieces: span, words, key and bands. Built as flat columns, not as objects."""
-    sizes, start, end, count, key, bands, has = [0], [], [], [], [], [], []
+    """Per document its pieces (span, words, key and bands) and the anchors of its windows, as flat columns."""
+    sizes, start, end, count, key, bands, has, found = [], [], [], [], [], [], [], []
     for t in texts:
         spans, firsts, words = pieces(t.as_py())
         sizes.append(len(spans))
+        codes = hashed(words)
+        found.append(anchors(codes))
         if spans:
-            codes, at, n = _hashed(words), np.array(spans, np.int32), np.diff(firsts).astype(np.int32)
+            at, n = np.array(spans, np.int32), np.diff(firsts).astype(np.int32)
             start.append(at[:, 0])
             end.append(at[:, 1])
             count.append(n)
@@ -138,67 +136,96 @@ def _cut(texts: pa.Array) -> pa.Array:
             long_ = n >= LEAST_PIECE
             bands.append(banded(piece_sets(firsts, codes))[long_].ravel())
             has.append(long_)
-
-    def flat(parts: list[np.ndarray], kind) -> np.ndarray:
-        return np.concatenate(parts) if parts else np.empty(0, kind)
-
-    marked = flat(has, bool)
-    lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(marked * BANDS))).astype(np.int32), flat(bands, np.int64))
-    columns = [pa.array(flat(start, np.int32)), pa.array(flat(end, np.int32)), pa.array(flat(count, np.int32)),
-               pa.array(flat(key, np.int64)), lists]
-    return pa.ListArray.from_arrays(np.cumsum(sizes).astype(np.int32), pa.StructArray.from_arrays(columns, fields=list(_UNIT)))
+    ends = np.concatenate(([0], np.cumsum(joined(has, bool) * BANDS))).astype(np.int32)
+    units = struct_lists(sizes, [("start", joined(start, np.int32)), ("end", joined(end, np.int32)), ("n", joined(count, np.int32)),
+                                 ("key", joined(key, np.int64)), ("bands", pa.ListArray.from_arrays(ends, joined(bands, np.int64)))])
+    made = pa.StructArray.from_arrays([units, anchor_lists(found)], names=["u", "a"])
+    del start, end, count, key, bands, has, found
+    give_back()
+    return made
 
 
 def _sets(texts: pa.Array) -> pa.Array:
-    rows = []
+    """Per document the keys of its pieces and their sets of shingle hashes, sorted."""
+    sizes, keys, sets = [], [], []
     for t in texts:
         _, firsts, words = pieces(t.as_py())
-        codes = _hashed(words)
-        rows.append([{"key": k, "set": np.unique(s).tobytes()} for k, s in
-                     zip(_keys(codes, firsts).tolist(), piece_sets(firsts, codes))] if words else [])
-    return pa.array(rows, pa.list_(pa.struct([("key", pa.int64()), ("set", pa.binary())])))
+        sizes.append(len(firsts) - 1)
+        if words:
+            codes = hashed(words)
+            keys.append(_keys(codes, firsts))
+            sets += [np.unique(s) for s in piece_sets(firsts, codes)]
+    ends = np.cumsum([0, *[8 * len(s) for s in sets]]).astype(np.int32)
+    flat = pa.BinaryArray.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(ends), pa.py_buffer(joined(sets, np.uint64))])
+    made = struct_lists(sizes, [("key", joined(keys, np.int64)), ("set", flat)])
+    del keys, sets
+    give_back()
+    return made
 
 
 def _signatures(sets: pa.Array) -> pa.Array:
     return pa.array([signature(np.frombuffer(s.as_py(), np.uint64)) for s in sets], pa.binary())
 
 
+class _Lists:
+    """A column of lists of structs as flat columns and the place of each list in them; null lists are empty."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.at = lists.offsets.to_numpy()
+        self.values = lists.values
+
+    def column(self, name: str) -> np.ndarray:
+        return self.values.field(name).to_numpy(zero_copy_only=False)
+
+    def place(self, i: int) -> slice:
+        return slice(self.at[i], self.at[i + 1])
+
+
 def _runs(units: pa.Array, marks: pa.Array, windows: pa.Array, ids: pa.Array) -> pa.Array:
     """Per document: its figures and the removed spans."""
-    rows = []
-    for u, m, w, i_ in zip(units, marks, windows, ids):
-        u, mark = u.as_py() or [], {x["seq"]: x for x in m.as_py() or []}
-        repeated, removed, sources, at = 0, [], set(), 0
-        while at < len(u):
-            end = at
-            while end < len(u) and end in mark:
-                end += 1
-            if end > at and sum(u[i]["n"] for i in range(at, end)) >= LEAST_RUN:
-                repeated += end - at
-                for i in range(at, end):
-                    if mark[i]["first_id"] is not None:
-                        sources.add(mark[i]["first_id"])
-                    if not mark[i]["first"]:
-                        removed.append(i)
-            at = max(end, at + 1)
-        sources |= {x for x in i_.as_py() or [] if x is not None}
-        words = [0, *itertools.accumulate(x["n"] for x in u)]
-        parts = [(words[i], words[i + 1], u[i]["start"], u[i]["end"]) for i in removed]
-        parts += [(x["begin"], x["stop"], x["start"], x["end"]) for x in w.as_py() or []]
-        spans, count, last = [], 0, -1
-        for begin, stop, start, end in sorted(parts):
-            if begin <= last:
-                spans[-1]["end"] = max(spans[-1]["end"], end)
-            else:
-                spans.append({"start": start, "end": end})
-            count += max(0, stop - max(begin, last))
-            last = max(last, stop)
-        rows.append((len(u), repeated, len(removed), count,
-                     sum(s["end"] - s["start"] for s in spans), sorted(sources), spans))
-    fields = [("n_pieces", pa.int64()), ("n_repeated", pa.int64()), ("n_removed", pa.int64()), ("removed_words", pa.int64()),
-              ("removed_chars", pa.int64()), ("first_ids", pa.list_(pa.int64())),
-              ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-    return arrow_struct(fields, rows)
+    u, m, w = _Lists(units), _Lists(marks), _Lists(windows)
+    n_words, starts, ends = u.column("n"), u.column("start"), u.column("end")
+    seqs, own = m.column("seq"), m.column("first").astype(bool)
+    sources, known = m.values.field("first_id").fill_null(0).to_numpy(), m.values.field("first_id").is_valid().to_numpy(zero_copy_only=False)
+    range_ = [w.column(c) for c in ("begin", "stop", "start", "end")]
+    figures, from_, span_start, span_end = [], [], [], []
+    for i in range(len(units)):
+        mine, marked = u.place(i), m.place(i)
+        n, seq = n_words[mine], seqs[marked]
+        words = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        # runs of neighbouring repeats; those of enough words count
+        edge = np.zeros(len(n) + 2, np.int8)
+        edge[seq + 1] = 1
+        edge = np.flatnonzero(np.diff(edge))
+        begins, stops = edge[::2], edge[1::2]
+        enough = words[stops] - words[begins] >= LEAST_RUN
+        change = np.zeros(len(n) + 1, np.int64)
+        np.add.at(change, begins[enough], 1)
+        np.add.at(change, stops[enough], -1)
+        repeats = np.cumsum(change)[:-1] > 0
+        counted = repeats[seq]
+        removed = np.sort(seq[counted & ~own[marked]])
+        ids_here = ids[i].values
+        from_.append(np.unique(np.concatenate([sources[marked][counted & known[marked]],
+                                               (ids_here.drop_null() if ids_here is not None else pa.array([], pa.int64())).to_numpy()])))
+        parts = [np.concatenate([a, b[w.place(i)]]) for a, b in
+                 zip((words[removed], words[removed + 1], starts[mine][removed], ends[mine][removed]), range_)]
+        begin, stop, start, end = (p[np.lexsort(parts[::-1])] for p in parts)
+        before = np.concatenate([[-1], np.maximum.accumulate(stop)])[:len(stop)]
+        first = np.flatnonzero(begin > before)
+        span_start.append(start[first])
+        span_end.append(np.maximum.reduceat(end, first) if len(first) else end)
+        figures.append((len(n), repeats.sum(), len(removed), np.maximum(0, stop - np.maximum(begin, before)).sum(),
+                        (span_end[-1] - span_start[-1]).sum()))
+    table = np.array(figures, np.int64).reshape(-1, 5)
+    spans = struct_lists([len(s) for s in span_start], [("start", joined(span_start, np.int32).astype(np.int32)),
+                                                        ("end", joined(span_end, np.int32).astype(np.int32))])
+    first_ids = pa.ListArray.from_arrays(np.cumsum([0, *map(len, from_)]).astype(np.int32), joined(from_, np.int64).astype(np.int64))
+    names = ["n_pieces", "n_repeated", "n_removed", "removed_words", "removed_chars", "first_ids", "spans"]
+    made = pa.StructArray.from_arrays([*[pa.array(table[:, k].copy()) for k in range(5)], first_ids, spans], names=names)
+    del figures, from_, span_start, span_end
+    give_back()
+    return made
 
 
 RUNS = ("n_pieces long, n_repeated long, n_removed long, removed_words long, removed_chars long, first_ids array<long>, "
@@ -206,7 +233,7 @@ RUNS = ("n_pieces long, n_repeated long, n_removed long, removed_words long, rem
 
 
 def _few(side: DataFrame) -> DataFrame:
-    """A written side table: broadcast while it is small, else joined by a shuffle."""
+    """A written side table of one or two 64-bit numbers a row: broadcast while it is small, else joined by a shuffle."""
     return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
 
 
@@ -225,12 +252,13 @@ def repeated_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text")
     body, ids = F.col(f"`{text}`"), F.col(f"`{id_}`").cast("long")
     # the text is left out: the tables below are narrow, and the last step reads the texts again
     row = F.xxhash64(ids, body)
-    cut = written(docs.select(row.alias("row"), ids.alias("_id"), F.xxhash64(body).alias("body"),
-                              F.arrow_udf(_cut, "array<struct<start:int,end:int,n:int,key:long,bands:array<long>>>")(body).alias("u")))
+    cut = written(docs.select(row.alias("row"), ids.alias("_id"), F.xxhash64(body).alias("body"), F.arrow_udf(_cut, CUT)(body).alias("c"))
+                  .select("row", "_id", "body", "c.u", "c.a"))
     units = cut.select("row", "_id", "body", F.posexplode("u").alias("seq", "p")).select(
         "row", "_id", "body", "seq", F.col("p.key").alias("key"), F.col("p.bands").alias("bands"))
-    # buckets with two different pieces in them; copies fold before the shuffle
-    hits = units.select("key", F.explode("bands").alias("node"))
+    # equal pieces fold before the shuffle, so bands are exploded once per different piece and not per occurrence
+    one = written(units.where("size(bands) > 0").groupBy("key").agg(*[F.min(F.get("bands", F.lit(i))).alias(f"b{i}") for i in range(BANDS)]))
+    hits = one.select("key", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("node"))
     buckets = written(hits.groupBy("node").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("node"))
     nodes = written(hits.join(_few(buckets), "node").distinct().select("node", F.col("key").alias("class")))
     labels = None
@@ -258,8 +286,9 @@ def repeated_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text")
                                      ((F.col("row") == F.col("f.row")) & (F.col("seq") == F.col("f.seq"))).alias("first")).alias("m"))
              .groupBy("row").agg(F.collect_list("m").alias("marks")))
     narrow = cut.select("row", "_id", F.expr("transform(u, x -> struct(x.start AS start, x.end AS end, x.n AS n))").alias("u"))
-    wide = repeated_windows(docs.select(row.alias("row"), ids.alias("_id"), F.xxhash64(body).alias("body"), body.alias("_text")))
-    return (narrow.join(written(marks), "row", "left").join(_few(wide), "row", "left")
+    # both sides hold arrays: written, so that the optimizer knows their bytes
+    wide = repeated_windows(cut.select("row", "_id", "body", "a"), docs.select(row.alias("row"), body.alias("_text")))
+    return (narrow.join(written(marks), "row", "left").join(wide, "row", "left")
             .withColumn("r", F.arrow_udf(_runs, RUNS)("u", "marks", "windows", "window_ids"))
             .select(F.col("_id").alias(id_), F.col("row").alias("row_hash"), "r.*"))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pavement.llm.columns import gram_hashes
+from pavement.llm.columns import give_back, gram_hashes
 from pavement.llm.neardup import BROADCAST_ROWS
 from pavement.plans.storage import written
 
@@ -27,74 +27,102 @@ WIDTH = 50
 GRAM = 20
 _WORD = re.compile("[^\x20\x09-\x0D]+")
 
-_ANCHOR = pa.struct([("fp", pa.int64()), ("ctx", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-_SPAN = pa.struct([("begin", pa.int32()), ("stop", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+#: What ``anchors`` finds, as flat columns: fingerprint, context, word of the anchor, first and last start of its windows.
+ANCHOR = (("fp", np.int64), ("ctx", np.int64), ("at", np.int32), ("lo", np.int32), ("hi", np.int32))
 
 
-def _codes(text: str | None) -> np.ndarray:
-    words = [w.lower().encode("utf-8") for w in _WORD.findall(text or "")]
+def hashed(words: list[bytes]) -> np.ndarray:
+    """One 64-bit code per word."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def anchors(codes: np.ndarray) -> list[dict]:
-    """The anchors of a text with the first and last start of the windows that name them."""
+def _codes(text: str | None) -> np.ndarray:
+    return hashed([w.lower().encode("utf-8") for w in _WORD.findall(text or "")])
+
+
+def anchors(codes: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """The anchors of a text as columns (``ANCHOR``); None of a text that is shorter than a window."""
     if len(codes) < WIDTH:
-        return []
+        return None
     grams = gram_hashes(codes, (GRAM,), GRAM)[0]
     starts = len(codes) - WIDTH + 1
     at = np.arange(starts) + np.lib.stride_tricks.sliding_window_view(grams, WIDTH - GRAM + 1).argmin(axis=1)
     lows = np.flatnonzero(np.diff(at, prepend=-1))
-    highs = np.append(lows[1:], starts) - 1
-    return [{"fp": f, "ctx": int(np.uint64(xxhash.xxh3_64_intdigest(codes[lo:hi + WIDTH].tobytes(), seed=a - lo)).view(np.int64)),
-             "at": a, "lo": lo, "hi": hi}
-            for f, a, lo, hi in zip(grams[at[lows]].view(np.int64).tolist(), at[lows].tolist(), lows.tolist(), highs.tolist())]
+    highs, at = np.append(lows[1:], starts) - 1, at[lows]
+    ctx = np.fromiter((xxhash.xxh3_64_intdigest(codes[lo:hi + WIDTH].tobytes(), seed=a - lo)
+                       for a, lo, hi in zip(at.tolist(), lows.tolist(), highs.tolist())), np.uint64, len(at))
+    return (grams[at].view(np.int64), ctx.view(np.int64), at.astype(np.int32), lows.astype(np.int32), highs.astype(np.int32))
+
+
+def joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    """The parts of one flat column after each other."""
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def struct_lists(sizes: list[int], columns: list[tuple[str, np.ndarray]]) -> pa.ListArray:
+    """Lists of structs from flat columns; ``sizes`` are the lists' lengths."""
+    values = pa.StructArray.from_arrays([pa.array(c) for _, c in columns], names=[n for n, _ in columns])
+    return pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype(np.int32), values)
 
 
-def _anchors(texts: pa.Array) -> pa.Array:
-    return pa.array([anchors(_codes(t.as_py())) for t in texts], pa.list_(_ANCHOR))
+def anchor_lists(found: list[tuple[np.ndarray, ...] | None]) -> pa.ListArray:
+    """One list of anchors per text."""
+    some = [f for f in found if f is not None]
+    return struct_lists([0 if f is None else len(f[0]) for f in found],
+                        [(n, joined([f[i] for f in some], kind)) for i, (n, kind) in enumerate(ANCHOR)])
 
 
 def _hashes(texts: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
     """For each range the hashes of its windows."""
-    rows = []
+    sizes, lengths, flat = [0], [], []
     for t, lo, hi in zip(texts, lows, highs):
         h = gram_hashes(_codes(t.as_py()), (WIDTH,), WIDTH)[0].view(np.int64)
-        rows.append([h[a:b + 1].tolist() for a, b in zip(lo.as_py(), hi.as_py())])
-    return pa.array(rows, pa.list_(pa.list_(pa.int64())))
+        lo, hi = lo.values.to_numpy(), hi.values.to_numpy()
+        sizes.append(len(lo))
+        lengths.append(hi - lo + 1)
+        flat += [h[a:b + 1] for a, b in zip(lo, hi)]
+    inner = np.concatenate([[0], np.cumsum(joined(lengths, np.int64))]).astype(np.int32)
+    made = pa.ListArray.from_arrays(np.cumsum(sizes).astype(np.int32), pa.ListArray.from_arrays(inner, joined(flat, np.int64)))
+    del flat
+    give_back()
+    return made
 
 
 def _placed(texts: pa.Array, begins: pa.Array, stops: pa.Array) -> pa.Array:
     """Word ranges, merged, with their code-point spans."""
-    rows = []
+    sizes, parts = [], []
     for t, begin, stop in zip(texts, begins, stops):
-        merged: list[list[int]] = []
-        for a, b in sorted(zip(begin.as_py(), stop.as_py())):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        at = [m.span() for m in _WORD.finditer(t.as_py())]
-        rows.append([{"begin": a, "stop": b, "start": at[a][0], "end": at[b - 1][1]} for a, b in merged])
-    return pa.array(rows, pa.list_(_SPAN))
+        begin, stop = begin.values.to_numpy(), stop.values.to_numpy()
+        order = np.lexsort((stop, begin))
+        begin, reach = begin[order], np.maximum.accumulate(stop[order])
+        first = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
+        begin, stop = begin[first], np.append(reach[first[1:] - 1], reach[-1])
+        at = np.array([m.span() for m in _WORD.finditer(t.as_py())], np.int32)
+        sizes.append(len(begin))
+        parts.append((begin, stop, at[begin, 0], at[stop - 1, 1]))
+    names = ("begin", "stop", "start", "end")
+    return struct_lists(sizes, [(n, joined([p[i] for p in parts], np.int32).astype(np.int32)) for i, n in enumerate(names)])
 
 
 def _few(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
 
 
-def repeated_windows(keyed: DataFrame) -> DataFrame:
-    """``keyed``: (row, _id, body, _text), rows of one ``row`` alike. (row, windows, window_ids) of the rows to cut.
+def repeated_windows(found: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(row, windows, window_ids) of the rows to cut, from their anchors and, where these do not decide, their texts.
 
-    ``windows`` are the word ranges and spans covered by windows that occur
-    earlier, by id, text digest and place; words of that first occurrence stay,
-    also where it overlaps. ``window_ids`` are the ids of the first occurrences.
+    ``found``: (row, _id, body, a), ``a`` as of ``anchor_lists``; ``keyed``: (row,
+    _text). Rows of one ``row`` are alike and count once. ``windows`` are the word
+    ranges and spans covered by windows that occur earlier, by id, text digest and
+    place; words of that first occurrence stay, also where it overlaps.
+    ``window_ids`` are the ids of the first occurrences.
     """
-    all_ = written(keyed.select("row", "_id", "body", F.arrow_udf(
-        _anchors, "array<struct<fp:long,ctx:long,at:int,lo:int,hi:int>>")("_text").alias("a")).where("size(a) > 0").dropDuplicates(["row"]))
-    flat = all_.select("row", "_id", "body", F.explode("a").alias("a")).select("row", "_id", "body", "a.*")
-    twice = written(flat.groupBy("fp").agg(F.count("*").alias("c"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2"))
-                    .where("c > 1").select("fp", (F.col("c1") != F.col("c2")).alias("several")))
-    rows = written(flat.join(_few(twice), "fp"))
+    flat = found.select("row", "_id", "body", F.explode("a").alias("a")).select("row", "_id", "body", "a.*")
+    # the places are compared, not counted, so that rows which repeat as a whole are no second occurrence
+    where = F.xxhash64("row", "at")
+    twice = written(flat.groupBy("fp").agg(F.min(where).alias("p1"), F.max(where).alias("p2"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2"))
+                    .where("p1 <> p2").select("fp", (F.col("c1") != F.col("c2")).alias("several")))
+    rows = written(flat.join(_few(twice), "fp").dropDuplicates(["row", "at"]))
     place = F.struct("_id", "body", "row", "at", "lo", "hi")
     firsts = written(rows.groupBy("fp", "ctx").agg(F.min(place).alias("f"), F.max("several").alias("several")))
     # the first occurrence keeps its words
@@ -105,8 +133,8 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
                      (F.col("hi") + WIDTH).alias("stop"), F.col("f._id").alias("first_id")))
     wanted = written(firsts.where("several").select("fp", "f.*").groupBy("row", "_id", "body")
                      .agg(F.collect_list(F.struct("fp", "at", "lo", "hi")).alias("r")))
-    texts = keyed.select("row", "_text")
-    made = (texts.join(_few(wanted), "row").dropDuplicates(["row"])
+    texts = keyed.select("row", "_text")  # the tables that meet them are written: the optimizer knows their bytes
+    made = (texts.join(wanted, "row").dropDuplicates(["row"])
             .withColumn("h", F.arrow_udf(_hashes, "array<array<long>>")("_text", "r.lo", "r.hi"))
             .select("row", "_id", "body", F.explode(F.arrays_zip("r", "h")).alias("z"))
             .select("row", "_id", "body", "z.r.fp", "z.r.at", "z.r.lo", F.posexplode("z.h").alias("i", "h"))
@@ -119,6 +147,6 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
                       (F.col("s") + WIDTH).alias("stop"), F.col("f._id").alias("first_id")))
     spans = written(later.union(partly).where("begin < stop").groupBy("row")
                     .agg(F.collect_set(F.struct("begin", "stop")).alias("w"), F.collect_set("first_id").alias("window_ids")))
-    return written(texts.join(_few(spans), "row").dropDuplicates(["row"]).select(
+    return written(texts.join(spans, "row").dropDuplicates(["row"]).select(
         "row", F.arrow_udf(_placed, "array<struct<begin:int,stop:int,start:int,end:int>>")("_text", "w.begin", "w.stop").alias("windows"),
         "window_ids"))
