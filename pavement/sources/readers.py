@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pavement.functions.text import coordinate_text
+from pavement.operators.density import FEATURES
 from pavement.sources import schemas
 
 
@@ -19,14 +20,15 @@ def read_city_boxes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_samples(spark: SparkSession, path: str, labelled: bool = True, cities: list[str] | None = None,
-                 layout: str = "array") -> DataFrame:
+                 layout: str = "array", features: tuple[str, ...] = FEATURES) -> DataFrame:
     """Sample records with optional label and city filters.
 
     ``layout`` says what every file of ``path`` is: one JSON ``array``, or
     ``lines`` with one record each. A record that does not parse, or a file of
     the other layout, stops the read. Features come as a list of numbers or as an
-    object, whose values are taken in the order of its keys in the file. One JSON
-    array cannot be split and is one task; a large table should come as Parquet
+    object, whose values are taken by the names of ``features``, in that order and
+    whatever the order in the file; a name that is not there gives null, and one
+    that is not among them stops the read. One JSON array cannot be split and is one task; a large table should come as Parquet
     (``write_samples``) or as lines.
     """
     if layout not in ("array", "lines"):
@@ -39,9 +41,13 @@ def read_samples(spark: SparkSession, path: str, labelled: bool = True, cities:
     if not other.limit(1).isEmpty():
         raise ValueError(f"{path} holds a file whose layout is not {layout}")
     text = F.col("osm_features")
-    rows = rows.withColumn("osm_features", F.coalesce(
-        F.when(text.startswith("["), F.from_json(text, "array<double>")),
-        F.when(text.startswith("{"), F.map_values(F.from_json(text, "map<string,double>")))))
+    named = F.from_json(text, "map<string,double>")
+    unknown = F.array_except(F.map_keys(named), F.array(*map(F.lit, features)))
+    message = F.concat(F.lit("osm_features has names that are not among the features: "), F.array_join(unknown, ", "))
+    by_name = F.when(F.size(unknown) > 0, F.raise_error(message).cast("array<double>")).otherwise(
+        F.array(*[F.try_element_at(named, F.lit(n)) for n in features]))
+    rows = rows.withColumn("osm_features", F.when(text.startswith("["), F.from_json(text, "array<double>"))
+                           .when(text.startswith("{"), by_name))
     if labelled:
         rows = rows.where(F.col("population_15min_walk").isNotNull())
     if cities is not None:
@@ -61,6 +67,44 @@ def read_layers(spark: SparkSession, root: str, city: str, layer: str) -> DataFr
     return table.where(F.col("city") == city)
 
 
+def _found(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """JSON documents, one per file; None if there is none."""
+    try:
+        return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """A split document to one row per city: (city, split, n_cities, n_samples), the counts being those of its split.
+
+    A missing document is an error; a city that the document holds in two splits comes twice (``split_audit`` finds it).
+    """
+    document = spark.read.schema(schemas.SPLIT).json(path, multiLine=True, mode="FAILFAST")
+    rows = F.flatten(F.array(*[F.transform(F.coalesce(F.col(s), F.array().cast("array<string>")), lambda c: F.struct(  # noqa: B023
+        c.alias("city"), F.lit(s).alias("split"), F.col(f"n_cities.{s}").alias("n_cities"), F.col(f"n_samples.{s}").alias("n_samples")))
+        for s in schemas.SPLITS]))
+    return document.select(F.inline(rows))
+
+
+def read_results(spark: SparkSession, root: str, files: str = "*/test_results.json") -> DataFrame:
+    """(run, metric, value) of all finished runs below ``root``, for ``run_comparison``.
+
+    A run is a folder (``name`` or ``run=name``) with one result document; metrics a
+    document lacks have no row. Without any document the frame is empty.
+    """
+    documents = _found(spark, f"{root.rstrip('/')}/{files}", schemas.RESULTS)
+    if documents is None:
+        return spark.createDataFrame([], "run string, metric string, value double")
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    run = F.regexp_replace(F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))), "^run=", "")
+    metrics = documents.columns
+    return (documents.select(run.alias("run"), *metrics).unpivot("run", metrics, "metric", "value")
+            .where(F.col("value").isNotNull()))
+
+
 def parse_isochrone(df: DataFrame, json_col: str) -> DataFrame:
     """Walk area, street distance and start point from a service reply; the last match of each wins.
 

@@ -24,3 +24,9 @@ SCENES = ("scene_id string, collection string, min_lon double, min_lat double, m
 # The reply of the isochrone service; nested geometry stays JSON text, its depth differs by type.
 ISOCHRONE = ("features array<struct<properties:struct<name:string, approximation:double>, "
              "geometry:struct<type:string, coordinates:string>>>")
+
+SPLITS = ("train", "val", "test")
+_COUNTS = "struct<train:long, val:long, test:long>"
+SPLIT = f"seed long, n_cities {_COUNTS}, n_samples {_COUNTS}, train array<string>, val array<string>, test array<string>"
+
+RESULTS = "mae double, rmse double, r2 double, loss double"

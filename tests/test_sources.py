@@ -1,12 +1,14 @@
 """Readers, writers, the stream and the two pipelines."""
 
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pavement.operators import learning as L
+from pavement.operators.metrics import run_comparison
 from pavement.plans import pipelines
 from pavement.sources import readers, schemas, writers
 from pavement.streaming import enrich as E
@@ -47,12 +49,15 @@ def test_samples(spark, folder, layout):
 
 def test_samples_of_other_shapes(spark, folder):
     records = [{"city": "A", "population_15min_walk": 1.0, "osm_features": [1.0, 2.0]},
-               {"city": "B", "population_15min_walk": 1.0, "osm_features": {"roads": 3.0, "pois": 4.0}},
+               {"city": "B", "population_15min_walk": 1.0, "osm_features": {"pois": 4.0, "roads": 3.0}},
                {"city": "C", "population_15min_walk": 1.0}]
     with open(f"{folder}/s.json", "w") as f:
         f.writelines(json.dumps(r) + "\n" for r in records)
-    rows = readers.read_samples(spark, f"{folder}/s.json", layout="lines").orderBy("city").collect()
-    assert [r.osm_features for r in rows] == [[1.0, 2.0], [3.0, 4.0], None]
+    names = ("roads", "pois", "stops")
+    rows = readers.read_samples(spark, f"{folder}/s.json", layout="lines", features=names).orderBy("city").collect()
+    assert [r.osm_features for r in rows] == [[1.0, 2.0], [3.0, 4.0, None], None]
+    with pytest.raises(Exception, match="pois"):  # names that are not among the fifteen
+        readers.read_samples(spark, f"{folder}/s.json", layout="lines").collect()
     with open(f"{folder}/s.json", "a") as f:
         f.write('{"city": "D", "popul\n')
     with pytest.raises(Exception):
@@ -166,3 +171,29 @@ def test_batch_score_and_transform(spark):
     assert sorted(r.z_pred for r in L.batch_score(df, make).collect()) == [15.0 * i for i in range(10)]
     turned = L.with_transform(df, lambda v: np.flip(v) + 1, "tabular").collect()
     assert all(r.tabular == [r.id + 1.0] * 15 for r in turned)
+
+
+def test_split_file(spark, folder):
+    cities = spark.createDataFrame([("B", "train"), ("A", "train"), ("C", "test")], "city string, split string")
+    samples = spark.createDataFrame([(c,) for c in "AABCCCD"], "city string")
+    writers.write_split(cities, samples, f"{folder}/split.json")
+    rows = {r.city: (r.split, r.n_cities, r.n_samples) for r in readers.read_split(spark, f"{folder}/split.json").collect()}
+    assert rows == {"A": ("train", 2, 3), "B": ("train", 2, 3), "C": ("test", 1, 3)}
+    with open(f"{folder}/other.json", "w") as f:
+        json.dump({"seed": 1, "strategy": "x", "n_cities": {"train": 1}, "train": ["Z"], "val": []}, f, indent=2)
+    assert [tuple(r) for r in readers.read_split(spark, f"{folder}/other.json").collect()] == [("Z", "train", 1, None)]
+
+
+def test_results_of_runs(spark, folder):
+    assert readers.read_results(spark, f"{folder}/none").count() == 0
+    for run, found in {"dual 1": {"mae": 2.0, "rmse": 3.0, "r2": 0.5, "loss": 1, "epoch": 7}, "film+": {"mae": 1.5}}.items():
+        os.makedirs(f"{folder}/{run}")
+        with open(f"{folder}/{run}/test_results.json", "w") as f:
+            json.dump(found, f, indent=2)
+    os.makedirs(f"{folder}/unfinished")
+    runs = {r.run: (r.mae, r.rmse) for r in run_comparison(readers.read_results(spark, folder)).collect()}
+    assert runs == {"dual 1": (2.0, 3.0), "film+": (1.5, None)}
+    results = spark.createDataFrame([("x", 1.0, 2.0)], "run string, mae double, loss double")
+    for _ in range(2):
+        writers.write_results(results, f"{folder}/written")
+    assert sorted(tuple(r) for r in readers.read_results(spark, f"{folder}/written", "*/*.json").collect()) == [("x", "loss", 2.0), ("x", "mae", 1.0)]
