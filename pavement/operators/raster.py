@@ -49,10 +49,15 @@ def scene_search(scenes: DataFrame, boxes: DataFrame, max_cloud: float = MAX_CLO
     """Scenes of the collection that overlap each box, in its season, under the cloud limit.
 
     Both sides meet on grid cells; a pair that shares several cells counts in the
-    first of them only. ``boxes`` needs start and end dates.
+    first of them only. ``boxes`` needs start and end dates; the first and last of
+    all are looked up while the plan is built and bound the scan of the scenes.
     """
     edges = [f"{end}_{axis}" for end in ("min", "max") for axis in ("lon", "lat")]
     wanted = scenes.where((F.col("collection") == collection) & (F.col("cloud_cover") < max_cloud))
+    first, last = boxes.agg(F.to_date(F.min("start")), F.date_add(F.to_date(F.max("end")), 1)).first()
+    if first is not None and last is not None:
+        kind = scenes.schema["ts"].dataType  # plain bounds on the stored column reach the files
+        wanted = wanted.where((F.col("ts") >= F.lit(first).cast(kind)) & (F.col("ts") < F.lit(last).cast(kind)))
     left = _box_cells(wanted.select("scene_id", "ts", "cloud_cover", *[F.col(e).alias(f"s_{e}") for e in edges]), cell_deg, "s_")
     right = _box_cells(boxes.select(key, "start", "end", *[F.col(e).alias(f"b_{e}") for e in edges]), cell_deg, "b_")
     overlap = ((F.col("s_min_lon") <= F.col("b_max_lon")) & (F.col("s_max_lon") >= F.col("b_min_lon"))
