@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pavement.functions import projection as P
 from pavement.operators import crops as K
 from pavement.operators import learning as L
+from pavement.operators.resample import resample_raster
 from pavement.plans.registry import query
 from pavement.plans.scalar_queries import raster_meta
 from pavement.plans.storage import written
@@ -69,3 +70,32 @@ FROM px GROUP BY pid""", _WINDOW)
 def _score(b):
     images = K.model_channels(crops(b)).select("pid", "image")
     return L.batch_score(images, bright_and_built, "image", K.channel_shape(SIZE), out="score").select("pid", F.round("score", 6).alias("score"))
+
+
+FINE, FINE_SIDE = 200, 50
+
+_FINER = {
+    "raster": "SELECT city, prow, pcol, max(dem) AS dem FROM b_scene_pixel GROUP BY city, prow, pcol",
+    "meta": "SELECT city, CAST(max(prow) + 1 AS BIGINT) AS height, CAST(max(pcol) + 1 AS BIGINT) AS width FROM b_scene_pixel GROUP BY city",
+    "place": f"""SELECT city, height, width, i.range AS prow, j.range AS pcol, (i.range + 0.5E0) * {FINE} / 500 - 0.5E0 AS v0, (j.range + 0.5E0) * {FINE} / 500 - 0.5E0 AS u0
+FROM meta CROSS JOIN range({FINE_SIDE}) i CROSS JOIN range({FINE_SIDE}) j""",
+    "near": "SELECT *, least(greatest(v0, 0), height - 1) AS v, least(greatest(u0, 0), width - 1) AS u FROM place WHERE v0 <= height - 0.5E0 AND u0 <= width - 0.5E0",
+    "corner": """SELECT n.city, n.prow, n.pcol, r.dem * (CASE di.range WHEN 0 THEN 1 - (v - floor(v)) ELSE v - floor(v) END)
+  * (CASE dj.range WHEN 0 THEN 1 - (u - floor(u)) ELSE u - floor(u) END) AS part
+FROM near n CROSS JOIN range(2) di CROSS JOIN range(2) dj
+JOIN raster r ON r.city = n.city AND r.prow = least(floor(v) + di.range, height - 1) AND r.pcol = least(floor(u) + dj.range, width - 1)""",
+    "summed": "SELECT city, prow, pcol, sum(part) AS dem FROM corner GROUP BY city, prow, pcol",
+}
+
+
+@query("resample_raster", "SELECT city, prow, pcol, round(coalesce(dem, 0), 4) AS dem FROM place LEFT JOIN summed USING (city, prow, pcol)", _FINER)
+def _resample(b):
+    """The heights of every city on a finer grid, from 500 m to 200 m."""
+    meta = raster_meta(b)
+    fine = meta.select("city", F.lit(float(FINE)).alias("a"), "c", F.lit(-float(FINE)).alias("e"), "f",
+                       F.lit(FINE_SIDE).alias("height"), F.lit(FINE_SIDE).alias("width"))
+    tiles = written(K.raster_tiles(raster(b).select("city", "prow", "pcol", "dem"), TILE, ("dem",)))
+    made = resample_raster(tiles, meta, fine, TILE)
+    values = (made.select("city", "ti", "tj", F.posexplode("dem").alias("i", "line"))
+              .select("city", "tj", (F.col("ti") * TILE + F.col("i")).cast("long").alias("prow"), F.posexplode("line").alias("j", "dem")))
+    return values.select("city", "prow", (F.col("tj") * TILE + F.col("j")).cast("long").alias("pcol"), F.round("dem", 4).alias("dem"))
