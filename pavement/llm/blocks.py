@@ -17,12 +17,14 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<\Z", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style title textarea noscript template iframe svg math object select".split())
+#: Elements whose content is no text of the page: scripts, styles, form controls, and a frame's stand-in.
+RAW = frozenset("script style title textarea select iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q ruby s samp small span "
-    "strike strong sub sup time tt u var wbr br".split())
+    "strike strong sub sup time tt u var wbr br "
+    "math semantics annotation mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msub msup msubsup munder mover munderover "
+    "svg g path rect circle ellipse line polyline polygon text tspan defs use".split())
 #: What an opening tag of a kind closes if it is the innermost open element.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
           "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}

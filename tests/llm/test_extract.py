@@ -20,6 +20,11 @@ def test_blocks():
     assert texts("<p title=\"1 > 0\">q &#233;&nbsp;z</p>tail &am") == ["q é z", "tail &am"]
     assert blocks("<div class='Side-Bar'><p>x")[0].path == ("div", "side", "bar", "p")
     assert texts("<script>never closed <p>x</p>") == []
+    # formulas and drawings belong to their paragraph; what stands in other containers is judged, not skipped
+    assert texts("<p>Euler: <math><mi>e</mi><mo>=</mo><mn>1</mn></math> holds.</p>") == ["Euler: e=1 holds."]
+    assert texts("<p>a <svg><title>t</title><g><text>b</text></g></svg> c<noscript><p>d</p></noscript><template>e</template>") == ["a b c", "d", "e"]
+    assert texts("<object><p>f</p></object><p>g <math>h") == ["f", "g h"]
+    assert texts("<p>i <select><option>no</select><iframe>no</iframe><textarea>no</textarea>j") == ["i j"]
     for odd in ("<" * 50_000, "<a " * 50_000, "<p>" * 50_000, "<!--" * 50_000, "<a \"" * 20_000, "&amp;" * 50_000):
         blocks(odd)  # linear
 
