@@ -143,3 +143,46 @@ def test_parts_areas_and_empty_shapes(spark):
     disc = math.pi * 250 ** 2
     assert row.road_density == pytest.approx(50 / disc) and row.poi_density == 2
     assert row.building_density == pytest.approx((400 + 1600 + 100 - 4) / disc)
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_sums_without_pairs(spark, monkeypatch, cut):
+    """Sums of all kinds equal plain ones, in whole and in cut blocks, and no pair of a centre and a feature is a row."""
+    if cut:
+        monkeypatch.setattr(S, "_FEATURES", 40)
+        monkeypatch.setattr(S, "_CENTRES", 15)
+    rng = random.Random(5)
+    rows, centres = _centres(spark, 150)
+    rows, centres = rows + [("A", 150, None, 0.0)], centres.unionByName(
+        spark.createDataFrame([("A", 150, None, 0.0)], centres.schema))
+    places = [("A" if i % 2 else "B", rng.uniform(-3000, 3000), rng.uniform(-3000, 3000),
+               10 ** rng.uniform(0, 3.6), rng.uniform(0, 6.28), [1.0, 0.1, None][i % 3]) for i in range(300)]
+    places += [places[0]] * 20 + [("A", float("nan"), 0.0, 1.0, 0.0, 1.0), (None, 0.0, 0.0, 1.0, 0.0, 1.0)]
+    base = spark.createDataFrame(places, "city string, cx double, cy double, h double, a double, w double")
+    x, y, h = F.col("cx"), F.col("cy"), F.col("h")
+    ends = base.select("city", "w", x.alias("x1"), y.alias("y1"), (x + h * F.cos("a")).alias("x2"), (y + h * F.sin("a")).alias("y2"))
+    squares = base.select("city", "w", F.array(F.array(*[
+        F.struct((x + i * h).alias("x"), (y + j * h).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])).alias("rings"))
+    points = base.select("city", "w", x.alias("x"), y.alias("y"))
+    sums = S.disc_sums(centres, [
+        (ends, "lines", ["x1", "y1", "x2", "y2"], {"lines": F.col("w")}), (squares, "polygons", ["rings"], {"areas": F.col("w")}),
+        (points, "points", ["x", "y"], {"points": F.col("w"), "n": F.lit(1)})], 250)
+    got = {r.pid: r for r in sums.collect()}
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Inner" not in plan
+    assert len(got) == 151 and tuple(got[150])[2:] == (0.0, 0.0, 0.0, 0.0)
+    for city, pid, px, py in rows[:-1]:
+        mine = [f for f in places if f[0] == city]
+        line = sum(f[5] or 0 for f in mine if _segment_gap(px, py, (
+            f[1], f[2], f[1] + f[3] * math.cos(f[4]), f[2] + f[3] * math.sin(f[4]))) <= 250)
+        area = sum(f[5] or 0 for f in mine if math.hypot(max(abs(px - f[1]) - f[3], 0), max(abs(py - f[2]) - f[3], 0)) <= 250)
+        near = [f[5] or 0 for f in mine if math.hypot(px - f[1], py - f[2]) <= 250]
+        assert tuple(got[pid])[2:] == pytest.approx((line, area, sum(near), len(near)), abs=1e-9)
+
+
+def test_infinite_measures_stay_with_their_features(spark):
+    centres = spark.createDataFrame([("A", i, i * 1000.0, 0.0) for i in range(4)], "city string, pid int, x double, y double")
+    points = spark.createDataFrame([("A", 0.0, 0.0, 1.5), ("A", 1000.0, 0.0, float("inf")), ("A", 2000.0, 0.0, float("nan")),
+                                    ("A", 3000.0, 0.0, 2.5)], "city string, x double, y double, w double")
+    out = {r.pid: r.w for r in S.disc_sums(centres, [(points, "points", ["x", "y"], {"w": F.col("w")})], 250).collect()}
+    assert (out[0], out[1], out[3]) == (1.5, math.inf, 2.5) and math.isnan(out[2])
