@@ -186,3 +186,12 @@ def test_infinite_measures_stay_with_their_features(spark):
                                     ("A", 3000.0, 0.0, 2.5)], "city string, x double, y double, w double")
     out = {r.pid: r.w for r in S.disc_sums(centres, [(points, "points", ["x", "y"], {"w": F.col("w")})], 250).collect()}
     assert (out[0], out[1], out[3]) == (1.5, math.inf, 2.5) and math.isnan(out[2])
+
+
+def test_anchors_decide_before_whole_features(spark):
+    """Edges are looked at only where the anchor does not decide, and the bound of a feature is squared before the join."""
+    _, centres = _centres(spark, 3)
+    paths = spark.createDataFrame([("A", 1, [(0.0, 0.0), (9.0, 9.0)])], "city string, oid int, path array<struct<x:double,y:double>>")
+    plan = S.disc_join_lines(centres, paths, 250)._jdf.queryExecution().optimizedPlan().toString()
+    joined = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "<= _near" in joined and " OR exists(" in joined and "POWER" not in joined.upper()
