@@ -255,3 +255,30 @@ def test_linear_attribution_sums_to_prediction(spark):
     parts = L.linear_attribution(model, df, "sid").groupBy("sid").agg(F.sum("value").alias("v"))
     back = parts.join(df, "sid").select((F.col("v") + model.intercept - F.col("z")).alias("gap")).toPandas().gap
     assert back.abs().max() < 0.05
+
+
+def test_a_pair_of_blocks_gives_the_sums_of_both(spark):
+    """Both directions from one meeting; copies far from the origin are at distance 0; points without a label have sums but are in none."""
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(90, 5)) + 1e4, [float(i % 3) if i % 10 else None for i in range(90)]
+    x[40:60] = x[0:20]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    side = lambda at: pd.DataFrame({"_id": at, "_label": [y[i] for i in at], "_f": [x[i] for i in at], "_from": 0, "_to": 1})
+    met = Z._block_distances(side(range(35)), side(range(35, 90)))
+    assert len(met) == 90 * 3
+    for row in met.itertuples():
+        others = [i for i in (range(35, 90) if row._1 < 35 else range(35)) if y[i] == row._3]
+        assert row._5 == len(others) and row._4 == pytest.approx(d[row._1, others].sum(), rel=1e-9, abs=1e-9)
+    df = spark.createDataFrame([(i, x[i].tolist(), i % 3) for i in range(90)] + [(90 + i, x[0].tolist(), 7) for i in range(600)],
+                               "vec_id long, embedding array<double>, label int")
+    got = {r.label: r.silhouette for r in Z.silhouette(df).collect()}
+    z, w = np.r_[x, np.repeat(x[:1], 600, axis=0)], np.r_[np.arange(90) % 3, np.full(600, 7)]
+    away = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    sums = np.stack([away[:, w == o].sum(1) for o in (0, 1, 2, 7)], 1)
+    n = np.array([(w == o).sum() for o in (0, 1, 2, 7)])
+    own = np.searchsorted([0, 1, 2, 7], w)
+    a = sums[np.arange(690), own] / (n[own] - 1)
+    b = np.where(np.arange(4) == own[:, None], np.inf, sums / n).min(1)
+    s = np.where(np.maximum(a, b) > 0, (b - a) / np.maximum(a, b), 0)
+    assert got[None] == pytest.approx(s.mean()) and got[7] == pytest.approx(s[w == 7].mean())
