@@ -310,3 +310,38 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 64 and back.groupBy("shard").count().where("count <> 16").count() == 0
+
+
+def test_a_large_group_proposes_few_pairs(spark, monkeypatch):
+    """Components of a large group around the threshold are those of all pairs, from a bounded number of candidates each."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 6)):
+            words[at] = f"x{rng.randrange(40)}"
+        docs.append((i, " ".join(words)))
+    sets = [frozenset(zip(*[t.split()[j:] for j in range(5)])) for _, t in docs]
+    root = list(range(400))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(400):
+        for j in range(i):
+            if find(i) != find(j) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    made, confirm = [], neardup.Joiner.confirm
+
+    def counted(self, pairs, *rest):
+        made.append(pairs.distinct().count())
+        confirm(self, pairs, *rest)
+
+    monkeypatch.setattr(neardup.Joiner, "confirm", counted)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame, 5, 80).collect()}
+    assert got == {i: find(i) for i in range(400)}
+    assert sum(made) <= 14 * len(docs)
