@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pavement.operators import density as D
 from pavement.operators import spatial as S
+from pavement.plans import catalog
 
 
 def _segment_gap(px, py, s):
@@ -195,3 +196,9 @@ def test_anchors_decide_before_whole_features(spark):
     plan = S.disc_join_lines(centres, paths, 250)._jdf.queryExecution().optimizedPlan().toString()
     joined = next(line for line in plan.splitlines() if "Join Inner" in line)
     assert "<= _near" in joined and " OR exists(" in joined and "POWER" not in joined.upper()
+
+
+def test_paths_are_made_after_the_joins(spark):
+    plan = catalog.QUERIES["disc_intersects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join", 1)
+    assert "array(" in above and "array(" not in below
