@@ -69,8 +69,14 @@ def extract_crops(samples: DataFrame, tiles: DataFrame, size: int, tile: int, ba
     than the window); ``id_`` names a sample once. Windows may be larger than tiles.
     The join is by tile; a tile that very many samples meet is a skewed partition,
     which adaptive execution splits. A sample whose start is null has null windows.
+
+    Windows are far larger than the rows they are cut for, so samples are dealt evenly
+    by id first, whatever the files they come from. Where the tiles are few enough to
+    be broadcast, that deal serves all steps and no window is shuffled.
     """
     names = list(bands)
+    # a number of its own: adaptive execution would pack the narrow rows into a few tasks
+    samples = samples.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_)
     lines = {"ti": "row_start", "tj": "col_start"}
     ends = {t: (F.floor(F.col(s) / tile), F.floor((F.col(s) + size - 1) / tile)) for t, s in lines.items()}
     wanted = (samples.where("row_start IS NOT NULL AND col_start IS NOT NULL")

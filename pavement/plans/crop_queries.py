@@ -9,7 +9,7 @@ from pavement.operators import crops as K
 from pavement.operators import learning as L
 from pavement.operators.resample import resample_raster
 from pavement.plans.registry import query
-from pavement.plans.scalar_queries import raster_meta
+from pavement.plans.scalar_queries import raster_meta, raster_size
 from pavement.plans.storage import written
 
 SIZE, TILE = 6, 5
@@ -34,8 +34,10 @@ def raster(b):
 
 
 def crops(b):
-    starts = P.pixel_of(b.point.select("pid", "city", "x", "y"), raster_meta(b), SIZE)
-    tiles = written(K.raster_tiles(raster(b), TILE))
+    # one scan of the scenes: the raster has the pixels of all of them, so its size is theirs
+    pixels = written(raster(b))
+    starts = P.pixel_of(b.point.select("pid", "city", "x", "y"), raster_size(pixels), SIZE)
+    tiles = written(K.raster_tiles(pixels, TILE))
     return K.extract_crops(starts.select("pid", "city", "row_start", "col_start"), tiles, SIZE, TILE, id_="pid")
 
 

@@ -147,14 +147,18 @@ def _utm(b):
 META = "SELECT city, 20 AS height, 20 AS width FROM b_scene_pixel GROUP BY city"
 
 
-def raster_meta(b):
+def raster_size(pixels):
     """Size of each city raster, from its pixels, with a 500 m north-up affine."""
-    return (b.scene_pixel.groupBy("city")
+    return (pixels.groupBy("city")
             .agg((F.max("prow") + 1).cast("bigint").alias("height"), (F.max("pcol") + 1).cast("bigint").alias("width"))
             .select("city", "height", "width", F.lit(500.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"),
                     F.lit(0.0).alias("d"), F.lit(-500.0).alias("e"), F.lit(10000.0).alias("f")))
 
 
+def raster_meta(b):
+    return raster_size(b.scene_pixel)
+
+
 _META = {"meta": """SELECT city, CAST(max(prow) + 1 AS BIGINT) AS height, CAST(max(pcol) + 1 AS BIGINT) AS width
 FROM b_scene_pixel GROUP BY city"""}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pavement.functions import scaling as C
 from pavement.operators import crops as K
 from pavement.operators import learning as L
+from pavement.plans.storage import written
 
 
 def a_raster(height, width, seed):
@@ -110,3 +111,11 @@ def test_a_function_of_tensors(spark, pixels):
     got = {r["sid"]: r["v"] for r in L.batch_score(images, make, "image", K.channel_shape(3), batch_size=4, out="v").collect()}
     plain = {r["sid"]: r["image"][3 * 9 + 1 * 3 + 2] + 120 for r in images.collect()}
     assert all(abs(got[k] - plain[k]) < 1e-5 for k in plain) and len(got) == 9
+
+
+def test_windows_are_cut_in_many_tasks(spark, pixels):
+    tiles = written(K.raster_tiles(pixels, 8))
+    samples = spark.createDataFrame([(i, "a", i % 9, i % 13) for i in range(200)],
+                                    "sid long, city string, row_start long, col_start long").coalesce(1)
+    made = K.extract_crops(samples, tiles, 8, 8).select(F.spark_partition_id().alias("task"), F.size("red").alias("n"))
+    assert len({r["task"] for r in made.where("n = 8").collect()}) > 1
