@@ -17,7 +17,6 @@ an equal run of ``windows.WIDTH`` words with an earlier occurrence is removed to
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pavement.llm.columns import give_back, gram_hashes
 from pavement.llm.decontaminate import cut_spans
 from pavement.llm.neardup import BROADCAST_ROWS, Joiner, branches_for, signature
-from pavement.llm.windows import anchor_lists, anchors, hashed, joined, repeated_windows, struct_lists
+from pavement.llm.windows import anchor_lists, anchors, hashed, joined, lowered, repeated_windows, struct_lists, word_places
 from pavement.plans.storage import written
 
 SHINGLE = 5
@@ -38,7 +37,6 @@ ROWS = 2
 LEAST_PIECE = 8
 LEAST_RUN = 15
 
-_WORD = re.compile("[^\x20\x09-\x0D]+")
 _DRAW = np.random.default_rng(77)
 
 
@@ -60,29 +58,21 @@ def pieces(text: str | None) -> tuple[list[tuple[int, int]], list[int], list[byt
     A piece ends at a line's end, and after a sentence end (. ! ? at a word's
     end) if the sentence has ``LEAST_PIECE`` words. Words are lower-cased.
     """
-    spans, firsts, words = [], [], []
     if not text:
-        return spans, [0], words
-    at = 0
-    for line in text.split("\n"):
-        begin, count, last = None, 0, 0
-        for m in _WORD.finditer(line):
-            if begin is None:
-                begin, count = at + m.start(), 0
-                firsts.append(len(words))
-            word = m[0]
-            words.append(word.lower().encode("utf-8"))
-            count += 1
-            last = at + m.end()
-            if word[-1] in ".!?":
-                if count >= LEAST_PIECE:
-                    spans.append((begin, last))
-                    begin = None
-                count = 0
-        if begin is not None:
-            spans.append((begin, last))
-        at += len(line) + 1
-    return spans, [*firsts, len(words)], words
+        return [], [0], []
+    start, end, last, line = word_places(text)
+    if not len(start):
+        return [], [0], []
+    number = np.arange(len(start))
+    opens = np.diff(line, prepend=-1) > 0  # the first word of a line
+    ends = (last == ord(".")) | (last == ord("!")) | (last == ord("?"))
+    # a sentence's words are counted from the line's begin or the sentence end before
+    opens[1:] |= ends[:-1]
+    sentence = np.maximum.accumulate(np.where(opens, number, 0))
+    closes = np.append(np.diff(line) > 0, True) | (ends & (number - sentence + 1 >= LEAST_PIECE))
+    stops = np.flatnonzero(closes)
+    firsts = np.append(0, stops + 1)
+    return list(zip(start[firsts[:-1]].tolist(), end[stops].tolist())), firsts.tolist(), lowered(text)
 
 
 def piece_sets(firsts: list[int], codes: np.ndarray) -> list[np.ndarray]:
@@ -257,10 +247,13 @@ def repeated_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text")
     units = cut.select("row", "_id", "body", F.posexplode("u").alias("seq", "p")).select(
         "row", "_id", "body", "seq", F.col("p.key").alias("key"), F.col("p.bands").alias("bands"))
     # equal pieces fold before the shuffle, so bands are exploded once per different piece and not per occurrence
-    one = written(units.where("size(bands) > 0").groupBy("key").agg(*[F.min(F.get("bands", F.lit(i))).alias(f"b{i}") for i in range(BANDS)]))
-    hits = one.select("key", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("node"))
+    # places are compared, not counted: rows that repeat as a whole are no second occurrence
+    place = F.xxhash64("row", "seq")
+    one = written(units.groupBy("key").agg(*[F.min(F.get("bands", F.lit(i))).alias(f"b{i}") for i in range(BANDS)],
+                                           (F.min(place) != F.max(place)).alias("twice")).where("b0 IS NOT NULL OR twice"))
+    hits = one.where("b0 IS NOT NULL").select("key", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("node"))
     buckets = written(hits.groupBy("node").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("node"))
-    nodes = written(hits.join(_few(buckets), "node").distinct().select("node", F.col("key").alias("class")))
+    nodes = written(hits.join(_few(buckets), "node").select("node", F.col("key").alias("class")))
     labels = None
     if not nodes.isEmpty():
         wanted = written(nodes.select(F.col("class").alias("key")).distinct())
@@ -271,7 +264,7 @@ def repeated_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text")
                 .select("p.key", "p.set").join(_few(wanted), "key").dropDuplicates(["key"]))
         sets = written(made.select(F.col("key").alias("class"), "set", F.arrow_udf(_signatures, "binary")("set").alias("sig")))
         labels = Joiner(sets.select("class", "sig"), lambda needed: sets.join(needed, "class").select("class", "set"), PERCENT).grow(nodes, BRANCHES)
-    exact = units.select("row", "seq", "key").distinct().groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    exact = one.where("twice").select("key")
     if labels is None:
         comps = exact.select("key", F.col("key").alias("comp"))
     else:

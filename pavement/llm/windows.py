@@ -11,8 +11,6 @@ are compared window by window.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pavement.llm.columns import give_back, gram_hashes
-from pavement.llm.neardup import BROADCAST_ROWS
+from pavement.llm.neardup import BROADCAST_ROWS, keep_known
 from pavement.plans.storage import written
 
 WIDTH = 50
 GRAM = 20
-_WORD = re.compile("[^\x20\x09-\x0D]+")
+STEP = 5  # the hash of a window is made from the hashes of so many words each
 
 #: What ``anchors`` finds, as flat columns: fingerprint, context, word of the anchor, first and last start of its windows.
 ANCHOR = (("fp", np.int64), ("ctx", np.int64), ("at", np.int32), ("lo", np.int32), ("hi", np.int32))
@@ -36,8 +34,40 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def lowered(text: str) -> list[bytes]:
+    """The lower-cased words: bytes are split at \\x20 and \\x09-\\x0D, which no letter's case depends on or turns into."""
+    return text.lower().encode("utf-8").split()
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' spans in code points, the last byte of each and the line it is in."""
+    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+    edge = np.flatnonzero(np.diff(inside))
+    start, last = edge[::2], edge[1::2] - 1
+    lines = np.searchsorted(np.flatnonzero(raw == 10), start)
+    if len(raw) == len(text):
+        return start, last + 1, raw[last], lines
+    points = np.cumsum((raw & 0xC0) != 0x80)
+    return points[start] - 1, points[last], raw[last], lines
+
+
+def _long_grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """One 64-bit hash per run of ``n`` words, a multiple of ``STEP``."""
+    parts = gram_hashes(codes, (STEP,), n)[0]
+    count = max(0, len(codes) - n + 1)
+    h = np.full(count, n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, n, STEP):
+            h ^= parts[k:k + count]
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h
+
+
 def _codes(text: str | None) -> np.ndarray:
-    return hashed([w.lower().encode("utf-8") for w in _WORD.findall(text or "")])
+    return hashed(lowered(text or ""))
 
 
 def anchors(codes: np.ndarray) -> tuple[np.ndarray, ...] | None:
@@ -76,7 +106,7 @@ def _hashes(texts: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
     """For each range the hashes of its windows."""
     sizes, lengths, flat = [0], [], []
     for t, lo, hi in zip(texts, lows, highs):
-        h = gram_hashes(_codes(t.as_py()), (WIDTH,), WIDTH)[0].view(np.int64)
+        h = _long_grams(_codes(t.as_py()), WIDTH).view(np.int64)
         lo, hi = lo.values.to_numpy(), hi.values.to_numpy()
         sizes.append(len(lo))
         lengths.append(hi - lo + 1)
@@ -97,9 +127,9 @@ def _placed(texts: pa.Array, begins: pa.Array, stops: pa.Array) -> pa.Array:
         begin, reach = begin[order], np.maximum.accumulate(stop[order])
         first = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
         begin, stop = begin[first], np.append(reach[first[1:] - 1], reach[-1])
-        at = np.array([m.span() for m in _WORD.finditer(t.as_py())], np.int32)
+        start, end, _, _ = word_places(t.as_py())
         sizes.append(len(begin))
-        parts.append((begin, stop, at[begin, 0], at[stop - 1, 1]))
+        parts.append((begin, stop, start[begin], end[stop - 1]))
     names = ("begin", "stop", "start", "end")
     return struct_lists(sizes, [(n, joined([p[i] for p in parts], np.int32).astype(np.int32)) for i, n in enumerate(names)])
 
@@ -134,7 +164,8 @@ def repeated_windows(found: DataFrame, keyed: DataFrame) -> DataFrame:
     wanted = written(firsts.where("several").select("fp", "f.*").groupBy("row", "_id", "body")
                      .agg(F.collect_list(F.struct("fp", "at", "lo", "hi")).alias("r")))
     texts = keyed.select("row", "_text")  # the tables that meet them are written: the optimizer knows their bytes
-    made = (texts.join(wanted, "row").dropDuplicates(["row"])
+    # only the texts that are asked for are shuffled
+    made = (keep_known(texts, wanted.select("row"), "row").join(wanted, "row").dropDuplicates(["row"])
             .withColumn("h", F.arrow_udf(_hashes, "array<array<long>>")("_text", "r.lo", "r.hi"))
             .select("row", "_id", "body", F.explode(F.arrays_zip("r", "h")).alias("z"))
             .select("row", "_id", "body", "z.r.fp", "z.r.at", "z.r.lo", F.posexplode("z.h").alias("i", "h"))
@@ -147,6 +178,6 @@ def repeated_windows(found: DataFrame, keyed: DataFrame) -> DataFrame:
                       (F.col("s") + WIDTH).alias("stop"), F.col("f._id").alias("first_id")))
     spans = written(later.union(partly).where("begin < stop").groupBy("row")
                     .agg(F.collect_set(F.struct("begin", "stop")).alias("w"), F.collect_set("first_id").alias("window_ids")))
-    return written(texts.join(spans, "row").dropDuplicates(["row"]).select(
+    return written(keep_known(texts, spans.select("row"), "row").join(spans, "row").dropDuplicates(["row"]).select(
         "row", F.arrow_udf(_placed, "array<struct<begin:int,stop:int,start:int,end:int>>")("_text", "w.begin", "w.stop").alias("windows"),
         "window_ids"))

@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pavement.llm import neardup, passages, sharding
+from pavement.llm import neardup, passages, sharding, windows
 from pavement.llm.components import components
+from pavement.plans.storage import written
 
 
 def prose(draw, n):
@@ -345,3 +346,25 @@ def test_a_large_group_proposes_few_pairs(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame, 5, 80).collect()}
     assert got == {i: find(i) for i in range(400)}
     assert sum(made) <= 14 * len(docs)
+
+
+def test_only_texts_with_repeated_windows_are_shuffled(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(words[:120])), (1, " ".join(["x", *words[30:200]])), (2, " ".join(words[200:]))]
+    plans = []
+    monkeypatch.setattr(windows, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    found = {r.doc_id: r.removed_words for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: 0, 1: 90, 2: 0}
+    plans = [p for p in plans if "_text" in p]
+    assert len(plans) == 2 and all("LeftSemi" in p for p in plans)
+
+
+def test_words_are_found_by_bytes():
+    draw = random.Random(4)
+    for _ in range(300):
+        text = "".join(draw.choice("aB.!? \n\t\x0b\x0c\r\x1c\x85  İΣσßé😀") for _ in range(draw.randrange(60)))
+        found = list(re.finditer("[^\x20\x09-\x0D]+", text))
+        start, end, _, line = windows.word_places(text)
+        assert list(zip(start, end)) == [m.span() for m in found]
+        assert list(line) == [text[:m.start()].count("\n") for m in found]
+        assert windows.lowered(text) == [m[0].lower().encode() for m in found]
