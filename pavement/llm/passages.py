@@ -20,15 +20,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pavement.llm.columns import give_back, gram_hashes
 from pavement.llm.decontaminate import cut_spans
-from pavement.llm.neardup import BROADCAST_ROWS, Joiner, branches_for, signature
-from pavement.llm.windows import anchor_lists, anchors, hashed, joined, lowered, repeated_windows, struct_lists, word_places
-from pavement.plans.storage import written
+from pavement.llm.neardup import BROADCAST_ROWS, Joiner, branches_for, keep_known, signatures
+from pavement.llm.windows import ANCHOR, anchors, joined, lowered, named, repeated_windows, struct_lists, word_blocks, word_places
+from pavement.plans.storage import dropped, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -52,51 +51,38 @@ _A = _DRAW.integers(1, 2 ** 62, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) +
 _B = _DRAW.integers(0, 2 ** 63, ROWS * BANDS, dtype=np.uint64)
 
 
+def _firsts(last: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The number of the word each piece begins with, and the end, from the words' last bytes and lines."""
+    number, breaks = np.arange(len(line)), np.diff(line) > 0
+    ends = (last == ord(".")) | (last == ord("!")) | (last == ord("?"))
+    # a sentence's words are counted from the line's begin or the sentence end before
+    sentence = np.maximum.accumulate(np.where(np.append(True, breaks | ends[:-1]), number, 0))
+    closes = np.append(breaks, True) | (ends & (number - sentence + 1 >= LEAST_PIECE))
+    return np.append(0, np.flatnonzero(closes) + 1)
+
+
 def pieces(text: str | None) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
     """Code-point spans of the pieces, the number of the word each begins with (and the end), and all words.
 
     A piece ends at a line's end, and after a sentence end (. ! ? at a word's
     end) if the sentence has ``LEAST_PIECE`` words. Words are lower-cased.
     """
-    if not text:
-        return [], [0], []
-    start, end, last, line = word_places(text)
+    start, end, last, line = word_places(text or "")
     if not len(start):
         return [], [0], []
-    number = np.arange(len(start))
-    opens = np.diff(line, prepend=-1) > 0  # the first word of a line
-    ends = (last == ord(".")) | (last == ord("!")) | (last == ord("?"))
-    # a sentence's words are counted from the line's begin or the sentence end before
-    opens[1:] |= ends[:-1]
-    sentence = np.maximum.accumulate(np.where(opens, number, 0))
-    closes = np.append(np.diff(line) > 0, True) | (ends & (number - sentence + 1 >= LEAST_PIECE))
-    stops = np.flatnonzero(closes)
-    firsts = np.append(0, stops + 1)
-    return list(zip(start[firsts[:-1]].tolist(), end[stops].tolist())), firsts.tolist(), lowered(text)
-
+    firsts = _firsts(last, line)
+    return list(zip(start[firsts[:-1]].tolist(), end[firsts[1:] - 1].tolist())), firsts.tolist(), lowered(text)
 
-def piece_sets(firsts: list[int], codes: np.ndarray) -> list[np.ndarray]:
-    """Shingle hashes of each piece; a piece of fewer words is one shingle."""
-    grams = gram_hashes(codes, (SHINGLE,), SHINGLE)[0]
-    return [grams[a:b - SHINGLE + 1] if b - a >= SHINGLE else gram_hashes(codes[a:b], (b - a,), SHINGLE)[0]
-            for a, b in zip(firsts, firsts[1:])]
 
-
-def _keys(codes: np.ndarray, firsts: list[int]) -> np.ndarray:
-    """A 64-bit name of each piece: its words in order."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(codes[a:b].tobytes()) for a, b in zip(firsts, firsts[1:])),
-                       np.uint64, len(firsts) - 1).view(np.int64)
-
-
-def banded(sets: list[np.ndarray]) -> np.ndarray:
-    """Band hashes, one row of ``BANDS`` per set."""
-    flat = np.concatenate(sets)
-    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    low = np.empty((ROWS * BANDS, len(sets)), np.uint64)
+def banded(grams: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Band hashes, one row of ``BANDS`` per range of ``grams``; the ranges ascend and have gaps between them."""
+    places = np.stack([begins, stops], axis=1).ravel()
+    places = places[:-1] if len(places) and places[-1] == len(grams) else places
+    low = np.empty((ROWS * BANDS, len(begins)), np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(ROWS * BANDS):
-            low[i] = np.minimum.reduceat((flat * _A[i] + _B[i]) >> np.uint64(24), starts)
-        h = np.zeros((BANDS, len(sets)), np.uint64)
+        for i in range(ROWS * BANDS if len(begins) else 0):
+            low[i] = np.minimum.reduceat((grams * _A[i] + _B[i]) >> np.uint64(24), places)[::2]
+        h = np.zeros((BANDS, len(begins)), np.uint64)
         for r in range(ROWS):
             h = (h ^ low[r * BANDS:(r + 1) * BANDS]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
@@ -110,51 +96,75 @@ CUT = ("u array<struct<start:int,end:int,n:int,key:long,bands:array<long>>>, "
 
 def _cut(texts: pa.Array) -> pa.Array:
     """Per document its pieces (span, words, key and bands) and the anchors of its windows, as flat columns."""
-    sizes, start, end, count, key, bands, has, found = [], [], [], [], [], [], [], []
-    for t in texts:
-        spans, firsts, words = pieces(t.as_py())
-        sizes.append(len(spans))
-        codes = hashed(words)
-        found.append(anchors(codes))
-        if spans:
-            at, n = np.array(spans, np.int32), np.diff(firsts).astype(np.int32)
-            start.append(at[:, 0])
-            end.append(at[:, 1])
-            count.append(n)
-            key.append(_keys(codes, firsts))
-            # a piece of few words has too few shingles to be like another without being equal
-            long_ = n >= LEAST_PIECE
-            bands.append(banded(piece_sets(firsts, codes))[long_].ravel())
-            has.append(long_)
+    sizes, start, end, count, key, bands, has, met, found = [], [], [], [], [], [], [], [], []
+    for a, b, words in word_blocks(texts):
+        found.append(anchors(words))
+        met.append(np.bincount(found[-1][-1], minlength=b - a))
+        if not len(words.codes):
+            sizes.append(np.zeros(b - a, np.int64))
+            continue
+        firsts = _firsts(words.last, words.line)
+        begins, stops = firsts[:-1], firsts[1:]
+        sizes.append(np.bincount(words.text[begins], minlength=b - a))
+        start.append(words.start[begins].astype(np.int32))
+        end.append(words.end[stops - 1].astype(np.int32))
+        count.append((stops - begins).astype(np.int32))
+        key.append(named(words.codes, begins, stops))
+        # a piece of few words has too few shingles to be like another without being equal
+        long_ = count[-1] >= LEAST_PIECE
+        bands.append(banded(gram_hashes(words.codes, (SHINGLE,), SHINGLE)[0], begins[long_], stops[long_] - SHINGLE + 1).ravel())
+        has.append(long_)
     ends = np.concatenate(([0], np.cumsum(joined(has, bool) * BANDS))).astype(np.int32)
-    units = struct_lists(sizes, [("start", joined(start, np.int32)), ("end", joined(end, np.int32)), ("n", joined(count, np.int32)),
-                                 ("key", joined(key, np.int64)), ("bands", pa.ListArray.from_arrays(ends, joined(bands, np.int64)))])
-    made = pa.StructArray.from_arrays([units, anchor_lists(found)], names=["u", "a"])
+    units = struct_lists(joined(sizes, np.int64), [("start", joined(start, np.int32)), ("end", joined(end, np.int32)), ("n", joined(count, np.int32)),
+                                                   ("key", joined(key, np.int64)), ("bands", pa.ListArray.from_arrays(ends, joined(bands, np.int64)))])
+    marked = struct_lists(joined(met, np.int64), [(n, joined([f[i] for f in found], kind)) for i, (n, kind) in enumerate(ANCHOR)])
+    made = pa.StructArray.from_arrays([units, marked], names=["u", "a"])
     del start, end, count, key, bands, has, found
     give_back()
     return made
 
 
-def _sets(texts: pa.Array) -> pa.Array:
-    """Per document the keys of its pieces and their sets of shingle hashes, sorted."""
-    sizes, keys, sets = [], [], []
-    for t in texts:
-        _, firsts, words = pieces(t.as_py())
-        sizes.append(len(firsts) - 1)
-        if words:
-            codes = hashed(words)
-            keys.append(_keys(codes, firsts))
-            sets += [np.unique(s) for s in piece_sets(firsts, codes)]
-    ends = np.cumsum([0, *[8 * len(s) for s in sets]]).astype(np.int32)
-    flat = pa.BinaryArray.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(ends), pa.py_buffer(joined(sets, np.uint64))])
-    made = struct_lists(sizes, [("key", joined(keys, np.int64)), ("set", flat)])
-    del keys, sets
+def _sets(texts: pa.Array, wanted: pa.Array | None = None) -> pa.Array:
+    """Per document the keys of its pieces and their sets of shingle hashes, sorted.
+
+    ``wanted``: the keys that are asked for in each text, given once each; else all pieces.
+    """
+    sizes, keys, lengths, flat = [], [], [], []
+    for a, b, words in word_blocks(texts):
+        firsts = _firsts(words.last, words.line) if len(words.codes) else np.zeros(1, np.int64)
+        names = named(words.codes, firsts[:-1], firsts[1:])
+        owner, take = words.text[firsts[:-1]], np.arange(len(names))
+        if wanted is not None:
+            left = [set(w.as_py() or []) for w in wanted[a:b]]
+            take = np.array([i for i, (o, k) in enumerate(zip(owner.tolist(), names.tolist())) if k in left[o] and not left[o].remove(k)], np.int64)
+        sizes.append(np.bincount(owner[take], minlength=b - a))
+        if not len(take):
+            continue
+        keys.append(names[take])
+        # a piece of fewer words is one shingle
+        grams = gram_hashes(words.codes, tuple(range(1, SHINGLE + 1)), SHINGLE)
+        held = [grams[min(SHINGLE, y - x) - 1][x:max(x, y - SHINGLE) + 1] for x, y in zip(firsts[take].tolist(), firsts[take + 1].tolist())]
+        piece, values = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate(held)
+        order = np.lexsort((values, piece))
+        values = values[order]
+        once = (np.diff(values, prepend=values[0]) != 0) | (np.diff(piece, prepend=-1) != 0)  # the order leaves the pieces in place
+        flat.append(values[once])
+        lengths.append(np.bincount(piece[once]))
+    ends = np.cumsum(np.concatenate([[0], 8 * joined(lengths, np.int64)])).astype(np.int32)
+    flat = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(joined(flat, np.uint64))])
+    made = struct_lists(joined(sizes, np.int64), [("key", joined(keys, np.int64)), ("set", flat)])
+    del keys, lengths
     give_back()
     return made
 
 
+def _sets_of(texts: pa.Array, keys: pa.Array) -> pa.Array:
+    return _sets(texts, keys)
+
+
 def _signatures(sets: pa.Array) -> pa.Array:
-    return pa.array([signature(np.frombuffer(s.as_py(), np.uint64)) for s in sets], pa.binary())
+    raw = [s.as_py() for s in sets]
+    return pa.array(signatures(np.frombuffer(b"".join(raw), np.uint64), np.array([len(s) // 8 for s in raw], np.int64)), pa.binary())
 
 
 class _Lists:
@@ -182,6 +192,12 @@ def _runs(units: pa.Array, marks: pa.Array, windows: pa.Array, ids: pa.Array) ->
     for i in range(len(units)):
         mine, marked = u.place(i), m.place(i)
         n, seq = n_words[mine], seqs[marked]
+        if not len(seq) and w.place(i).start == w.place(i).stop:  # most documents have no repeats
+            figures.append((len(n), 0, 0, 0, 0))
+            from_.append(np.empty(0, np.int64))
+            span_start.append(np.empty(0, np.int32))
+            span_end.append(span_start[-1])
+            continue
         words = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         # runs of neighbouring repeats; those of enough words count
         edge = np.zeros(len(n) + 2, np.int8)
@@ -254,15 +270,18 @@ def repeated_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text")
     hits = one.where("b0 IS NOT NULL").select("key", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("node"))
     buckets = written(hits.groupBy("node").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("node"))
     nodes = written(hits.join(_few(buckets), "node").select("node", F.col("key").alias("class")))
-    labels = None
+    spent, labels = [one, buckets, nodes], None  # what is not read after the components are known
     if not nodes.isEmpty():
         wanted = written(nodes.select(F.col("class").alias("key")).distinct())
-        where = written(units.join(_few(wanted), "key").groupBy("key").agg(F.min("body").alias("body")).select("body").distinct())
-        made = (docs.select(body.alias("_text"), F.xxhash64(body).alias("body")).join(_few(where), "body", "left_semi")
-                .dropDuplicates(["body"])
-                .select(F.explode(F.arrow_udf(_sets, "array<struct<key:long,set:binary>>")("_text")).alias("p"))
-                .select("p.key", "p.set").join(_few(wanted), "key").dropDuplicates(["key"]))
-        sets = written(made.select(F.col("key").alias("class"), "set", F.arrow_udf(_signatures, "binary")("set").alias("sig")))
+        # each piece is asked for in one text; nothing else of the texts is made
+        where = written(units.join(_few(wanted), "key").groupBy("key").agg(F.min("body").alias("body"))
+                        .groupBy("body").agg(F.collect_list("key").alias("keys")))
+        made = (keep_known(docs.select(body.alias("_text"), F.xxhash64(body).alias("body")), where.select("body"), "body")
+                .dropDuplicates(["body"]).join(where, "body")
+                .select(F.explode(F.arrow_udf(_sets_of, "array<struct<key:long,set:binary>>")("_text", "keys")).alias("p"))
+                .select(F.col("p.key").alias("class"), "p.set"))
+        sets = written(made.withColumn("sig", F.arrow_udf(_signatures, "binary")("set")))
+        spent += [wanted, where, sets]
         labels = Joiner(sets.select("class", "sig"), lambda needed: sets.join(needed, "class").select("class", "set"), PERCENT).grow(nodes, BRANCHES)
     exact = one.where("twice").select("key")
     if labels is None:
@@ -271,17 +290,19 @@ def repeated_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text")
         named = labels.select(F.col("id").alias("key"), F.col("label").alias("comp"))
         comps = named.union(exact.join(named, "key", "left_anti").select("key", F.col("key").alias("comp")))
     comps = written(comps)
+    dropped(*spent)
     found = written(units.select("row", "_id", "body", "seq", "key").join(_few(comps), "key")
                     .select("row", "_id", "body", "seq", "comp").distinct())
     firsts = found.groupBy("comp").agg(F.count("*").alias("c"), F.min(F.struct("_id", "body", "row", "seq")).alias("f")).where("c > 1")
-    marks = (found.join(firsts, "comp")
-             .select("row", F.struct("seq", F.col("f._id").alias("first_id"),
-                                     ((F.col("row") == F.col("f.row")) & (F.col("seq") == F.col("f.seq"))).alias("first")).alias("m"))
-             .groupBy("row").agg(F.collect_list("m").alias("marks")))
+    marks = written(found.join(firsts, "comp")
+                    .select("row", F.struct("seq", F.col("f._id").alias("first_id"),
+                                            ((F.col("row") == F.col("f.row")) & (F.col("seq") == F.col("f.seq"))).alias("first")).alias("m"))
+                    .groupBy("row").agg(F.collect_list("m").alias("marks")))
+    dropped(comps, found)
     narrow = cut.select("row", "_id", F.expr("transform(u, x -> struct(x.start AS start, x.end AS end, x.n AS n))").alias("u"))
     # both sides hold arrays: written, so that the optimizer knows their bytes
     wide = repeated_windows(cut.select("row", "_id", "body", "a"), docs.select(row.alias("row"), body.alias("_text")))
-    return (narrow.join(written(marks), "row", "left").join(wide, "row", "left")
+    return (narrow.join(marks, "row", "left").join(wide, "row", "left")
             .withColumn("r", F.arrow_udf(_runs, RUNS)("u", "marks", "windows", "window_ids"))
             .select(F.col("_id").alias(id_), F.col("row").alias("row_hash"), "r.*"))
 

@@ -11,6 +11,8 @@ are compared window by window.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,11 +21,12 @@ from pyspark.sql import functions as F
 
 from pavement.llm.columns import give_back, gram_hashes
 from pavement.llm.neardup import BROADCAST_ROWS, keep_known
-from pavement.plans.storage import written
+from pavement.plans.storage import dropped, written
 
 WIDTH = 50
 GRAM = 20
 STEP = 5  # the hash of a window is made from the hashes of so many words each
+BLOCK = 1 << 18  # characters of the texts that are cut by the same calls
 
 #: What ``anchors`` finds, as flat columns: fingerprint, context, word of the anchor, first and last start of its windows.
 ANCHOR = (("fp", np.int64), ("ctx", np.int64), ("at", np.int32), ("lo", np.int32), ("hi", np.int32))
@@ -70,18 +73,62 @@ def _codes(text: str | None) -> np.ndarray:
     return hashed(lowered(text or ""))
 
 
-def anchors(codes: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """The anchors of a text as columns (``ANCHOR``); None of a text that is shorter than a window."""
-    if len(codes) < WIDTH:
-        return None
+class Words:
+    """The words of several texts after each other: codes, code-point spans, last bytes, lines and the number of the text."""
+
+    def __init__(self, texts: list[str]):
+        whole = "\n".join(texts)  # a text ends a line, and no letter's case depends on what is beyond a line feed
+        start, end, self.last, self.line = word_places(whole)
+        base = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        self.text = np.searchsorted(base, start, "right") - 1
+        self.start, self.end = start - base[self.text], end - base[self.text]
+        self.codes = hashed(lowered(whole))
+        #: the number of each text's first word
+        self.first = np.searchsorted(self.text, np.arange(len(texts)))
+
+
+def word_blocks(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    """Ranges of texts (end exclusive) of about ``BLOCK`` characters and their words; null texts are empty."""
+    begin, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(t.as_py() or "")
+        size += len(held[-1]) + 1
+        if size >= BLOCK or i == len(texts) - 1:
+            yield begin, i + 1, Words(held)
+            begin, held, size = i + 1, [], 0
+
+
+def named(codes: np.ndarray, begins: np.ndarray, stops: np.ndarray, seeds: np.ndarray | None = None) -> np.ndarray:
+    """64-bit names of several runs of words."""
+    raw, digest = memoryview(codes).cast("B"), xxhash.xxh3_64_intdigest
+    ranges = zip((8 * begins).tolist(), (8 * stops).tolist(), (np.zeros_like(begins) if seeds is None else seeds).tolist())
+    return np.fromiter((digest(raw[a:b], s) for a, b, s in ranges), np.uint64, len(begins)).view(np.int64)
+
+
+def _smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first smallest of every ``width`` neighbours, by doubling."""
+    at, size = np.arange(len(values)), 1
+    while size < width:
+        step = min(size, width - size)
+        right = values[step:] < values[:-step]
+        at, values = np.where(right, at[step:], at[:-step]), np.where(right, values[step:], values[:-step])
+        size += step
+    return at
+
+
+def anchors(words: Words) -> tuple[np.ndarray, ...]:
+    """The anchors as columns (``ANCHOR``, places within their text) and the text of each; short texts have none."""
+    codes, text = words.codes, words.text
+    starts = np.flatnonzero(text[:max(0, len(codes) - WIDTH + 1)] == text[WIDTH - 1:])
+    if not len(starts):
+        return (*(np.empty(0, kind) for _, kind in ANCHOR), np.empty(0, np.int64))
     grams = gram_hashes(codes, (GRAM,), GRAM)[0]
-    starts = len(codes) - WIDTH + 1
-    at = np.arange(starts) + np.lib.stride_tricks.sliding_window_view(grams, WIDTH - GRAM + 1).argmin(axis=1)
-    lows = np.flatnonzero(np.diff(at, prepend=-1))
-    highs, at = np.append(lows[1:], starts) - 1, at[lows]
-    ctx = np.fromiter((xxhash.xxh3_64_intdigest(codes[lo:hi + WIDTH].tobytes(), seed=a - lo)
-                       for a, lo, hi in zip(at.tolist(), lows.tolist(), highs.tolist())), np.uint64, len(at))
-    return (grams[at].view(np.int64), ctx.view(np.int64), at.astype(np.int32), lows.astype(np.int32), highs.astype(np.int32))
+    at = _smallest(grams, WIDTH - GRAM + 1)[starts]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    lows, highs, at = starts[first], starts[np.append(first[1:], len(starts)) - 1], at[first]
+    ctx, owner = named(codes, lows, highs + WIDTH, at - lows), text[lows]
+    base = words.first[owner]
+    return (grams[at].view(np.int64), ctx, *((x - base).astype(np.int32) for x in (at, lows, highs)), owner)
 
 
 def joined(parts: list[np.ndarray], kind) -> np.ndarray:
@@ -95,13 +142,6 @@ def struct_lists(sizes: list[int], columns: list[tuple[str, np.ndarray]]) -> pa.
     return pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype(np.int32), values)
 
 
-def anchor_lists(found: list[tuple[np.ndarray, ...] | None]) -> pa.ListArray:
-    """One list of anchors per text."""
-    some = [f for f in found if f is not None]
-    return struct_lists([0 if f is None else len(f[0]) for f in found],
-                        [(n, joined([f[i] for f in some], kind)) for i, (n, kind) in enumerate(ANCHOR)])
-
-
 def _hashes(texts: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
     """For each range the hashes of its windows."""
     sizes, lengths, flat = [0], [], []
@@ -141,7 +181,7 @@ def _few(side: DataFrame) -> DataFrame:
 def repeated_windows(found: DataFrame, keyed: DataFrame) -> DataFrame:
     """(row, windows, window_ids) of the rows to cut, from their anchors and, where these do not decide, their texts.
 
-    ``found``: (row, _id, body, a), ``a`` as of ``anchor_lists``; ``keyed``: (row,
+    ``found``: (row, _id, body, a), ``a`` lists of ``ANCHOR`` structs; ``keyed``: (row,
     _text). Rows of one ``row`` are alike and count once. ``windows`` are the word
     ranges and spans covered by windows that occur earlier, by id, text digest and
     place; words of that first occurrence stay, also where it overlaps.
@@ -152,7 +192,7 @@ def repeated_windows(found: DataFrame, keyed: DataFrame) -> DataFrame:
     where = F.xxhash64("row", "at")
     twice = written(flat.groupBy("fp").agg(F.min(where).alias("p1"), F.max(where).alias("p2"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2"))
                     .where("p1 <> p2").select("fp", (F.col("c1") != F.col("c2")).alias("several")))
-    rows = written(flat.join(_few(twice), "fp").dropDuplicates(["row", "at"]))
+    rows = written(flat.join(_few(twice), "fp"))  # rows of one ``row`` give the same spans, which are sets below
     place = F.struct("_id", "body", "row", "at", "lo", "hi")
     firsts = written(rows.groupBy("fp", "ctx").agg(F.min(place).alias("f"), F.max("several").alias("several")))
     # the first occurrence keeps its words
@@ -178,6 +218,7 @@ def repeated_windows(found: DataFrame, keyed: DataFrame) -> DataFrame:
                       (F.col("s") + WIDTH).alias("stop"), F.col("f._id").alias("first_id")))
     spans = written(later.union(partly).where("begin < stop").groupBy("row")
                     .agg(F.collect_set(F.struct("begin", "stop")).alias("w"), F.collect_set("first_id").alias("window_ids")))
+    dropped(twice, rows, firsts, wanted, made)
     return written(keep_known(texts, spans.select("row"), "row").join(spans, "row").dropDuplicates(["row"]).select(
         "row", F.arrow_udf(_placed, "array<struct<begin:int,stop:int,start:int,end:int>>")("_text", "w.begin", "w.stop").alias("windows"),
         "window_ids"))

@@ -1,14 +1,17 @@
 """Near duplicates, repeated passages, components and shards against plain versions."""
 
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pavement.llm import neardup, passages, sharding, windows
+from pavement.llm.columns import gram_hashes
 from pavement.llm.components import components
 from pavement.plans.storage import written
 
@@ -368,3 +371,42 @@ def test_words_are_found_by_bytes():
         assert list(zip(start, end)) == [m.span() for m in found]
         assert list(line) == [text[:m.start()].count("\n") for m in found]
         assert windows.lowered(text) == [m[0].lower().encode() for m in found]
+
+
+def test_texts_are_cut_together(monkeypatch):
+    """Pieces and anchors do not depend on what else is in a block of texts."""
+    draw = random.Random(8)
+    texts = [None, "", "Σ", "ΑΣ\n", " \n "] + [" ".join(draw.choice(["ab", "İΣ", "x.", "no!", "é\n", "\n", "w"]) for _ in range(draw.randrange(160))) for _ in range(80)]
+    draw.shuffle(texts)
+    texts = pa.array(texts)
+    made = []
+    for block in (1, 700, windows.BLOCK):
+        monkeypatch.setattr(windows, "BLOCK", block)
+        made.append([passages._cut(texts).to_pylist(), passages._sets(texts).to_pylist()])
+    assert made[0] == made[1] == made[2]
+    assert [[(u["start"], u["end"]) for u in r["u"]] for r in made[2][0]] == [passages.pieces(t.as_py())[0] for t in texts]
+    keys = [[u["key"] for u in r["u"]][::2] for r in made[2][0]]
+    asked = passages._sets_of(texts, pa.array([sorted(set(k)) for k in keys], pa.list_(pa.int64()))).to_pylist()
+    assert [{(s["key"], s["set"]) for s in r} for r in asked] == [{(s["key"], s["set"]) for s in r if s["key"] in k} for r, k in zip(made[2][1], keys)]
+    assert all(len(r) == len(set(k)) for r, k in zip(asked, keys))
+
+
+def test_blocks_of_texts_share_their_calls(monkeypatch):
+    calls = []
+    monkeypatch.setattr(passages, "gram_hashes", lambda *a: calls.append(a) or gram_hashes(*a))
+    passages._cut(pa.array([f"{i} " * 60 for i in range(500)]))
+    assert len(calls) <= 3
+
+
+def test_spent_tables_are_dropped(spark, monkeypatch):
+    """Of the tables behind the result only those that the result still reads are left."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([f"own{i}", *words[i:i + 120]]) + f".\n{' '.join(words[:20])} {i}.") for i in range(40)]
+    kept = []
+    for module in (passages, neardup, windows):
+        monkeypatch.setattr(module, "written", lambda df: kept.append(written(df)) or kept[-1])
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.where("n_repeated > 0").count() == 40
+    left = [t for t in kept if os.path.isdir(os.path.dirname(t.inputFiles()[0].removeprefix("file:")))]
+    assert len(left) <= len(kept) // 2
+    assert not [t.columns for t in left if {"b0", "set"} & set(t.columns)]
