@@ -257,6 +257,21 @@ def test_linear_attribution_sums_to_prediction(spark):
     assert back.abs().max() < 0.05
 
 
+def test_attribution_query_covers_every_split(spark, monkeypatch):
+    """Samples of train, val and test all count, not those of test alone."""
+    from pavement.plans import learning_queries as Q
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 15)) + np.arange(90)[:, None] // 30
+    z = x @ np.arange(15) / 10
+    table = spark.createDataFrame([(i, 0, ("train", "val", "test")[i // 30], x[i].tolist(), float(z[i])) for i in range(90)],
+                                  "sid long, cluster int, split string, tabular array<double>, z double")
+    monkeypatch.setattr(Q, "training_table", lambda b: table)
+    got = {r.idx: (r.mean_abs, r.mean_signed) for r in Q._attribution(None).collect()}
+    shares = x * np.array(L.tabular_regressor(table.where("split = 'train'")).coefficients)
+    for i in range(15):
+        assert got[i] == pytest.approx((np.abs(shares[:, i]).mean(), shares[:, i].mean()), rel=1e-6, abs=1e-9)
+
+
 def test_a_pair_of_blocks_gives_the_sums_of_both(spark):
     """Both directions from one meeting; copies far from the origin are at distance 0; points without a label have sums but are in none."""
     import pandas as pd
