@@ -3,10 +3,13 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pavement.operators import density as D
+from pavement.operators import discs
 from pavement.operators import spatial as S
 from pavement.plans import catalog
 
@@ -181,6 +184,71 @@ def test_sums_without_pairs(spark, monkeypatch, cut):
         assert tuple(got[pid])[2:] == pytest.approx((line, area, sum(near), len(near)), abs=1e-9)
 
 
+def _shapes(rng, kind, n, side):
+    """Shapes of a kind, among them single points, hollow squares and shapes that are not convex, with their edges per shape."""
+    x, y = rng.uniform(0, side, n), rng.uniform(0, side, n)
+    if kind == "points":
+        return pa.table({"_ax": x, "_ay": y}), [[(a, b, a, b)] for a, b in zip(x, y)]
+    h, turn = 10 ** rng.uniform(0, 1.9, n), rng.uniform(0, 6.28, n)
+    if kind == "segments":
+        ends = {"x1": x, "y1": y, "x2": x + h * np.cos(turn), "y2": y + h * np.sin(turn)}
+        return pa.table(ends), [[e] for e in zip(*ends.values())]
+    plans = [[[(0, 0)]], [[(0, 0), (1, 0), (1, 1), (0, 1)]], [[(0, 0), (1, 0), (1, 1), (.9, 1), (.9, .1), (0, .1)]],
+             [[(0, 0), (1, 0), (1, 1), (0, 1)], [(.2, .2), (.8, .2), (.8, .8), (.2, .8)]]]
+    edges = []
+    for i in range(n):
+        rings = [[(x[i] + h[i] * a, y[i] + h[i] * b) for a, b in ring] for ring in plans[i % 4 if kind == "polygons" else i % 2 * 2]]
+        edges.append([(*a, *b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])][:None if kind == "polygons" else 5])
+    half = [max(math.hypot(e[k] - own[0][0], e[k + 1] - own[0][1]) for e in own for k in (0, 2)) for own in edges]
+    return pa.table({"_ax": x, "_ay": y, "_half": half,
+                     "_edges": [[dict(zip(("x1", "y1", "x2", "y2"), e)) for e in own] for own in edges]}), edges
+
+
+@pytest.mark.parametrize("kind", ["points", "segments", "lines", "polygons"])
+def test_cells_share_the_work_of_their_centres(kind, monkeypatch):
+    """Sums of dense centres equal plain ones, and few pairs of a centre and a feature are tested."""
+    rng = np.random.default_rng(3)
+    r, side = 250.0, 900.0
+    table, edges = _shapes(rng, kind, 2000, side)
+    shapes = discs.Shapes(table, kind)
+    cx, cy = rng.uniform(0, side, 1500), rng.uniform(0, side, 1500)
+    cx[:50], cy[:50] = cx[0], cy[0]
+    values = np.stack([np.arange(2000) % 7, rng.normal(size=2000)], axis=1)
+    hit = np.zeros((len(cx), 2000), bool)
+    for k, own in enumerate(edges):
+        inside = np.zeros(len(cx), bool)
+        for x1, y1, x2, y2 in own:
+            t = np.clip(((cx - x1) * (x2 - x1) + (cy - y1) * (y2 - y1)) / max((x2 - x1) ** 2 + (y2 - y1) ** 2, 1e-300), 0, 1)
+            hit[:, k] |= np.hypot(cx - x1 - t * (x2 - x1), cy - y1 - t * (y2 - y1)) <= r
+            if y1 != y2:
+                inside ^= ((y1 > cy) != (y2 > cy)) & (cx < x1 + (cy - y1) * (x2 - x1) / (y2 - y1))
+        if kind == "polygons":
+            hit[:, k] |= inside
+    tested = []
+    plain = discs.Shapes.hits
+    monkeypatch.setattr(discs.Shapes, "hits", lambda self, px, py, at, r: tested.append(len(at)) or plain(self, px, py, at, r))
+    assert discs.disc_totals(cx, cy, shapes, values, r) == pytest.approx(hit @ values, abs=1e-9)
+    sums = discs._Sums(shapes, np.arange(2000), values, r)
+    counts = []
+    for work in (lambda: sums.alone(cx, cy, True), lambda: sums.by_cells(cx, cy, r / 3, 64), lambda: sums.by_cells(cx, cy, r / 10, 16)):
+        tested.clear()
+        assert work() == pytest.approx(hit @ values, abs=1e-9)
+        counts.append(sum(tested))
+    if kind == "segments":
+        assert max(counts[1:]) < counts[0] / 2
+
+
+def test_dense_centres_test_few_features(monkeypatch):
+    """Of 6,000 centres and 60,000 segments, not every segment near the edge of a disc is tested for every centre."""
+    count = []
+    plain = discs.Shapes.hits
+    monkeypatch.setattr(discs.Shapes, "hits", lambda self, px, py, at, r: count.append(len(at)) or plain(self, px, py, at, r))
+    rng = np.random.default_rng(3)
+    table, _ = _shapes(rng, "segments", 60_000, 3000.0)
+    discs.disc_totals(rng.uniform(0, 3000, 6000), rng.uniform(0, 3000, 6000), discs.Shapes(table, "segments"), np.ones((60_000, 1)), 1000.0)
+    assert sum(count) < 3_000_000
+
+
 def test_infinite_measures_stay_with_their_features(spark):
     centres = spark.createDataFrame([("A", i, i * 1000.0, 0.0) for i in range(4)], "city string, pid int, x double, y double")
     points = spark.createDataFrame([("A", 0.0, 0.0, 1.5), ("A", 1000.0, 0.0, float("inf")), ("A", 2000.0, 0.0, float("nan")),
