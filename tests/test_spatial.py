@@ -266,6 +266,53 @@ def test_anchors_decide_before_whole_features(spark):
     assert "<= _near" in joined and " OR exists(" in joined and "POWER" not in joined.upper()
 
 
+def test_polygon_pairs_are_found_without_their_edges(spark):
+    """Bounds decide inside the join, whole polygons only above it, for every kind of shape."""
+    rows, centres = _centres(spark, 60, span=600)
+    h = 120.0
+    plans = {0: [[(0, 0)]], 1: [[(0, 0), (1, 0), (1, 1), (0, 1)]], 2: [[(0, 0), (1, 0), (1, 1), (.9, 1), (.9, .1), (0, .1)]],
+             3: [[(0, 0), (4, 0), (4, 4), (0, 4)], [(.2, .2), (3.8, .2), (3.8, 3.8), (.2, 3.8)]], 4: [[(0, 0), (9, 0), (0, 9)]]}
+    rng = random.Random(8)
+    feats = []
+    for i in range(50):
+        x, y = rng.uniform(-900, 900), rng.uniform(-900, 900)
+        feats.append(("A" if i % 2 else "B", i, [[(x + h * a, y + h * b) for a, b in ring] for ring in plans[i % 5]]))
+    feats.append(("A", 50, [[(0.0, 0.0), (None, 5.0), (30.0, 40.0)]]))
+    vertices = "array<array<struct<x:double, y:double>>>"
+    pairs = S.disc_join_polygons(centres, spark.createDataFrame([*feats, ("A", 51, []), ("A", 52, None)], f"city string, oid int, rings {vertices}"), 250)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    joined = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "<= _near" in joined and "exists(" not in joined and "exists(" in plan
+    got = {(r.city, r.pid, r.oid) for r in pairs.collect()}
+    want = set()
+    for city, pid, px, py in rows:
+        for own, oid, rings in feats:
+            edges = [(*a, *b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1]) if None not in (*a, *b)]
+            if city == own and (any(_segment_gap(px, py, e) <= 250 for e in edges) or sum(
+                    (e[1] > py) != (e[3] > py) and px < e[0] + (py - e[1]) * (e[2] - e[0]) / (e[3] - e[1]) for e in edges) % 2):
+                want.add((city, pid, oid))
+    near = {(c, p, 50) for c, p, x, y in rows if c == "A" and math.hypot(x, y) <= 250}  # by its anchor
+    assert {g for g in got if g[2] != 50} == {w for w in want if w[2] != 50} and len(want) > 200
+    assert near <= {g for g in got if g[2] == 50}
+
+
+def test_box_pairs(spark):
+    """Boxes of all sizes equal plain comparisons; boxes turned inside out, without an end or a side; no ring is made."""
+    rows, centres = _centres(spark, 80)
+    rng = random.Random(9)
+    boxes = []
+    for i in range(150):
+        x, y, w, h = rng.uniform(-3000, 3000), rng.uniform(-3000, 3000), 10 ** rng.uniform(0, 3.5), 10 ** rng.uniform(0, 3.5)
+        boxes.append(("A" if i % 2 else "B", i, x, y, x + w, y + h) if i % 10 else ("A", i, x + w, y, x, y + h))
+    boxes += [("A", 150, float("-inf"), 0.0, float("inf"), 9.0), ("A", 151, None, 0.0, 5.0, 9.0), ("A", 152, 0.0, 0.0, 0.0, 0.0)]
+    feats = spark.createDataFrame(boxes, "city string, oid int, min_x double, min_y double, max_x double, max_y double")
+    pairs = S.box_candidates(centres, feats, 250)
+    assert "_near" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = {(c, pid, oid) for c, pid, px, py in rows for own, oid, a, b, x, y in boxes
+            if c == own and a is not None and math.isfinite(a) and a <= px + 250 and x >= px - 250 and b <= py + 250 and y >= py - 250}
+    assert {(r.city, r.pid, r.oid) for r in pairs.collect()} == want and len(want) > 80
+
+
 def test_paths_are_made_after_the_joins(spark):
     plan = catalog.QUERIES["disc_intersects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join", 1)
