@@ -238,6 +238,20 @@ def test_cells_share_the_work_of_their_centres(kind, monkeypatch):
         assert max(counts[1:]) < counts[0] / 2
 
 
+def test_polygons_with_a_missing_vertex_are_tested_one_by_one():
+    """The even-odd rule over their remaining edges has no bound, so no cell may decide for its centres."""
+    rng = np.random.default_rng(6)
+    table, _ = _shapes(rng, "polygons", 800, 900.0)
+    edges = table.column("_edges").to_pylist()
+    for own in edges[1::8]:
+        own[0]["x2"] = own[1]["x1"] = None
+    table = table.set_column(table.column_names.index("_edges"), "_edges", pa.array(edges, table.schema.field("_edges").type))
+    shapes, values = discs.Shapes(table, "polygons"), np.ones((800, 1))
+    cx, cy = rng.uniform(0, 900, 1500), rng.uniform(0, 900, 1500)
+    alone = discs._Sums(shapes, np.arange(800), values, 250.0).alone(cx, cy, True)
+    assert shapes.whole.sum() == 700 and discs.disc_totals(cx, cy, shapes, values, 250.0) == pytest.approx(alone, abs=1e-9)
+
+
 def test_dense_centres_test_few_features(monkeypatch):
     """Of 6,000 centres and 60,000 segments, not every segment near the edge of a disc is tested for every centre."""
     count = []
